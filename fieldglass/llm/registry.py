@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldglass.llm import quality, secrets
+from fieldglass.llm import near, quality, secrets
 from fieldglass.llm.sql import SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_near": near.op9_near,
         "op5_quality": quality.op5_quality,
         "op8_secrets": secrets.op8_secrets,
     }
