@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldglass.llm import near, quality, repeats, secrets
+from fieldglass.llm import decontaminate, near, quality, repeats, secrets
 from fieldglass.llm.sql import SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op9_near": near.op9_near,
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_repeats": repeats.op2_repeats,
         "op5_quality": quality.op5_quality,
         "op8_secrets": secrets.op8_secrets,

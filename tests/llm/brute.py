@@ -61,3 +61,27 @@ def near(docs, percent=85):
                 a, b = root(d), root(e)
                 up[max(a, b)] = min(a, b)
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def leaks(docs, items, width=10):
+    """{doc_id: (n_words, n_hit, n_items, items_sha256)}"""
+    where = defaultdict(set)
+    for i, t in items:
+        w = TERM.findall((t or "").translate(LOWER))
+        for s in range(max(1, len(w) - width + 1) if w else 0):
+            where[tuple(w[s : s + width])].add(str(i))
+    sizes = {len(k) for k in where}
+    out = {}
+    for d, t in docs:
+        w = TERM.findall((t or "").translate(LOWER))
+        hit, met = set(), set()
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                if (k := tuple(w[s : s + n])) in where:
+                    hit.update(range(s, s + n))
+                    met |= where[k]
+        out[d] = (len(w), len(hit), len(met), sha(",".join(sorted(met))))
+    return out
