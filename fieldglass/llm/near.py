@@ -5,10 +5,10 @@
 2. Bands of the signature are keys. Each class is paired with the least class of every key that it has: as many pairs
    as rows. Pairs whose signatures agree too seldom go; the rest is confirmed on the full sets.
 3. Components of the confirmed links, by alternating large-star and small-star.
-4. Two classes that share a key but are in different components by then haven't been compared: those pairs are made
-   and confirmed likewise, and the components taken again. Within a key only members outside its largest component
-   meet the others, so a key that one component holds makes no pair. After this step no pair that shares a key and
-   has the similarity asked for is unlinked.
+4. Two classes that share a key but are in different components by then haven't been compared. A bound by the
+   shingles that each class has in common with any other in question leaves few of these pairs (see _uncompared);
+   they are confirmed likewise, and the components taken again. After this step no pair that shares a key and has the
+   similarity asked for is unlinked.
 """
 
 from __future__ import annotations
@@ -106,6 +106,34 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, percent: in
     return links
 
 
+def _uncompared(docs: DataFrame, tried: DataFrame, found: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a key's least class and can have the similarity asked for.
+
+    Shingles that no other class in question has can't be in an intersection, so with c the lesser count of the others
+    no pair exceeds c / (n1 + n2 - c). Classes that this rules out for every partner go, twice, as the rest then has
+    fewer partners. Documents with a passage in common, and copies too far from each other, so make no pairs at all.
+    """
+    groups = tried.select("u", "v").union(tried.select("u", F.col("u").alias("v")).distinct())
+    placed = groups.join(found.withColumnRenamed("vertex", "v"), "v", "left").select("u", "v", F.coalesce("component", "v").alias("component"))
+    several = placed.groupBy("u").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("u")
+    doubtful = stored(placed.join(several, "u"), "doubtful")
+    sets = stored(_sets(docs, doubtful.select(F.col("v").alias("doc_id")).distinct(), width).select(F.col("doc_id").alias("v"), F.size("shingles").alias("n"), "shingles"), "doubtful-sets")
+    able = sets.select("v", "n")
+    for _ in range(2):
+        said = sets.join(able.select("v"), "v", "left_semi").select("v", "n", F.explode("shingles").alias("s"))
+        both = said.groupBy("s").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("s")
+        counted = said.join(both, "s").groupBy("v", "n").agg(F.count("*").alias("c"))
+        able = stored(counted.where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n")), "able")
+    rows = doubtful.join(able, "v")
+    rows = stored(rows.join(rows.groupBy("v").agg(F.collect_set("u").alias("us")), "v"), "able-rows")  # a list has a class for each band at most
+    one, two = (rows.select("u", *(F.col(c).alias(f"{c}{k}") for c in ("v", "component", "n", "c", "us"))) for k in (1, 2))
+    c = F.least("c1", "c2")
+    fits = (F.col("v1") < F.col("v2")) & (F.col("component1") != F.col("component2")) & (F.lit(100) * c >= F.lit(percent) * (F.col("n1") + F.col("n2") - c))
+    once = F.col("u") == F.array_min(F.array_intersect("us1", "us2"))
+    pairs = one.join(two, "u").where(fits & once).select(F.col("v1").alias("u"), F.col("v2").alias("v"))
+    return pairs.join(tried, ["u", "v"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -123,25 +151,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     keys = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * BAND + 1, BAND)))
     banded = signed_reps.select("doc_id", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u <> last").select("key", "u")
-    members = stored(banded.join(shared, "key").select("key", "u", F.col("doc_id").alias("v")), "members")
-    tried = stored(members.where("u <> v").select("u", "v").distinct(), "tried")
+    tried = stored(banded.join(shared, "key").select("u", F.col("doc_id").alias("v")).where("u <> v").distinct(), "tried")
     links = _confirmed(tried, docs, signed_reps, percent, width)
     found = stored(connected_components(links), "components")
 
-    placed = members.join(found.withColumnRenamed("vertex", "v"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed_keys = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").select("key", "main")
-    open_members = stored(placed.join(mixed_keys, "key"), "open")
-    left = open_members.where("component <> main").select("key", F.col("v").alias("a"), F.col("component").alias("ca"))
-    right = open_members.select("key", F.col("v").alias("b"), F.col("component").alias("cb"), "main")
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    more = left.join(right, "key").where((F.col("ca") != F.col("cb")) & once).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    more = stored(more.join(tried, ["u", "v"], "left_anti"), "more")
+    more = stored(_uncompared(docs, tried, found, signed_reps, percent, width), "more")
     if not more.isEmpty():
         new = _confirmed(more, docs, signed_reps, percent, width)
         if not new.isEmpty():
             found = stored(connected_components(links.union(new)), "components")
-    drop_stored(docs.sparkSession, members, tried, open_members, more, signed_reps)
+    drop_stored(docs.sparkSession, tried, more, signed_reps)
     at = reps.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(at, ["d1", "d2", "n_shingles"], "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
