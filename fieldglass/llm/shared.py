@@ -17,8 +17,6 @@ cloudpickle.register_pickle_by_value(sys.modules["fieldglass"])  # executors nee
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Byte table that lower-cases A-Z alone.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Separators of words `[^\x20\x09-\x0D]+`, as a Java pattern.
-BLANKS = "[\\x20\\x09-\\x0D]+"
 
 _fallback: list[str] = []
 
