@@ -120,7 +120,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     drop_stored(docs.sparkSession, index)
     lists = offsets.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "offset", "terms")).alias("met")).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    met = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").withColumn("words", split_words(F.col("text")))
+    # Always by key: lists grow with the corpus, so a plan that broadcasts them while they are few says little of later.
+    met = keyed.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").withColumn("words", split_words(F.col("text")))
     edges = F.when(F.element_at("words", 1) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
     lead = F.when(F.element_at("words", 1) == "", 1).otherwise(0)
 
@@ -159,4 +160,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window. Rows without a doc_id are judged by their text like others."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = find_leaks(docs, items).where("n_hit > 0").select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    return docs.join(leaks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
