@@ -160,6 +160,11 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64))
 
 
+def _upper(parts: list[np.ndarray]) -> pa.Array:
+    """The upper halves: with a whole name of the other lane they make 96 bits."""
+    return pa.array((np.concatenate([*parts, np.empty(0, np.uint64)]) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def block_rows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, key, b1, b2) of all blocks, once a document."""
 
@@ -168,69 +173,97 @@ def block_rows(docs: DataFrame, width: int) -> DataFrame:
         for doc, p in zip(batch.column(0).to_pylist(), parsed(text_bytes(batch.column(1)), width), strict=True):
             if p.windows:
                 b1, b2 = p.blocks()
-                k = p.keys()
-                _, at = np.unique(b1 ^ k, return_index=True)
+                _, at = np.unique(b1, return_index=True)
                 ids.append(np.full(len(at), doc, np.int64).view(np.uint64))
-                keys.append(k[at])
+                keys.append(p.keys()[at])
                 one.append(b1[at])
                 two.append(b2[at])
-        return pa.RecordBatch.from_arrays([_longs(ids), _longs(keys), _longs(one), _longs(two)], names=["doc_id", "key", "b1", "b2"])
+        return pa.RecordBatch.from_arrays([_longs(ids), _longs(keys), _longs(one), _upper(two)], names=["doc_id", "key", "b1", "b2"])
+
+    return mapped(docs, run, "doc_id long, key long, b1 long, b2 int", rows=256)
+
+
+def _rest(text: bytes, p: Parsed, settled: list[int] | None, single: list[int] | None) -> tuple[list[bytes], int]:
+    """The words that stay, by settled blocks (b1) and single windows (w1), and how many go."""
+    words = text.split()
+    if not p.windows or not (settled or single):
+        return words, 0
+    drop = np.zeros(len(words) + 1, np.int64)
+    if settled:
+        some = np.isin(p.blocks()[0].view(np.int64), np.array(settled, np.int64))
+        np.add.at(drop, p.first[some], 1)
+        np.add.at(drop, p.first[some] + p.count[some] + p.width - 1, -1)
+    if single:
+        names = spans_named(np.arange(p.windows), np.full(p.windows, p.width), p.doubled[0])
+        at = np.flatnonzero(np.isin(names.view(np.int64), np.array(single, np.int64)))
+        np.add.at(drop, at, 1)
+        np.add.at(drop, at + p.width, -1)
+    rest = [w for w, d in zip(words, np.cumsum(drop).tolist(), strict=False) if d <= 0]
+    return rest, len(words) - len(rest)
+
+
+def _told(words: list[bytes], digest: bool) -> str:
+    kept = b" ".join(words)
+    return hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "replace")
+
 
-    return mapped(docs, run, "doc_id long, key long, b1 long, b2 long", rows=256)
+CUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(w1, w2, doc_id) of the windows of open blocks; docs: doc_id, text, open (array of b1)."""
+def settle(docs: DataFrame, width: int, digest: bool) -> DataFrame:
+    """CUT by settled blocks alone, and for texts with open blocks (then kept is null) what they still need: text,
+    settled, and the names w1, w2 of their open windows. docs: doc_id, text, settled, open (arrays of b1, or null)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, one, two = [], [], []
-        for doc, p, wanted in zip(batch.column(0).to_pylist(), parsed(text_bytes(batch.column(1)), width), batch.column(2).to_pylist(), strict=True):
-            if p.windows:
-                some = np.isin(p.blocks()[0].view(np.int64), np.array(wanted, np.int64))
-                at = np.flatnonzero(np.repeat(some, p.count))
+        out = {"n_words": [], "n_removed": [], "kept": [], "text": [], "settled": []}
+        one, two, counts = [], [], []
+        texts, settled, opened = text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for text, p, blocks, wanted in zip(texts, _parsed_if(texts, [bool(a or b) for a, b in zip(settled, opened, strict=True)], width), settled, opened, strict=True):
+            at = np.empty(0, np.int64)
+            if wanted and p.windows:
+                at = np.flatnonzero(np.repeat(np.isin(p.blocks()[0].view(np.int64), np.array(wanted, np.int64)), p.count))
                 w1, w2 = p.window_names(at)
-                ids.append(np.full(len(at), doc, np.int64).view(np.uint64))
                 one.append(w1)
                 two.append(w2)
-        return pa.RecordBatch.from_arrays([_longs(one), _longs(two), _longs(ids)], names=["w1", "w2", "doc_id"])
+            rest, gone = ([], 0) if len(at) else _rest(text, p, blocks, None)
+            out["n_words"].append(p.n if len(at) else len(rest) + gone)
+            out["n_removed"].append(gone)
+            out["kept"].append(None if len(at) else _told(rest, digest))
+            out["text"].append(text.decode("utf-8", "replace") if len(at) else None)
+            out["settled"].append(blocks if len(at) else None)
+            counts.append(len(at))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+        columns = [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(offsets, _longs(one)), pa.ListArray.from_arrays(offsets, _upper(two))], names=["doc_id", *out, "w1", "w2"])
+
+    return mapped(docs, run, f"{CUT}, text string, settled array<long>, w1 array<long>, w2 array<int>", rows=256)
+
 
-    return mapped(docs, run, "w1 long, w2 long, doc_id long", rows=256)
+def _parsed_if(texts: list[bytes], wanted: list[bool], width: int) -> Iterator[Parsed]:
+    """parsed(), with an empty stand-in for the texts that need no parsing."""
+    none = Parsed([np.empty(0, np.uint64)] * 2, width)
+    found = parsed([t for t, w in zip(texts, wanted, strict=True) if w], width)
+    for w in wanted:
+        yield next(found) if w else none
 
 
-def cut(docs: DataFrame, width: int) -> DataFrame:
-    """What stays of each text; docs: doc_id, text, settled (array of b1, or null), windows (array of w1, or null)."""
+def finish(docs: DataFrame, width: int, digest: bool) -> DataFrame:
+    """CUT of the texts that had open blocks; docs: doc_id, text, settled, single (array of w1, or null)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, gone, kept = [], [], []
-        texts, settled, windows = text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for text, blocks, single in zip(texts, settled, windows, strict=True):
-            words = text.split()
-            if blocks or single:
-                p = next(parsed([text], width))
-                drop = np.zeros(len(words) + 1, np.int64)
-                if blocks and p.windows:
-                    some = np.isin(p.blocks()[0].view(np.int64), np.array(blocks, np.int64))
-                    np.add.at(drop, p.first[some], 1)
-                    np.add.at(drop, p.first[some] + p.count[some] + width - 1, -1)
-                if single and p.windows:
-                    names = spans_named(np.arange(p.windows), np.full(p.windows, width), p.doubled[0])
-                    at = np.flatnonzero(np.isin(names.view(np.int64), np.array(single, np.int64)))
-                    np.add.at(drop, at, 1)
-                    np.add.at(drop, at + width, -1)
-                covered = np.cumsum(drop)[:-1] > 0
-                rest = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-            else:
-                rest = words
-            n.append(len(words))
-            gone.append(len(words) - len(rest))
-            kept.append(b" ".join(rest))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return mapped(docs, run, "doc_id long, n_words long, n_removed long, kept_text string", rows=256)
-
-
-def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text of each row of docs (doc_id, text).
+        rows = []
+        for text, blocks, single in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            rest, gone = _rest(text, next(parsed([text], width)), blocks, single)
+            rows.append((len(rest) + gone, gone, _told(rest, digest)))
+        columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return mapped(docs, run, CUT, rows=256)
+
+
+def cut_repeats(docs: DataFrame, width: int = 50, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept of each row of docs (doc_id, text): the text that stays, or its SHA-256.
 
     A word goes if it lies in a window of `width` words that also starts in a document with a smaller doc_id. Null and
     empty texts have no words and keep "". Texts shorter than a window stay whole, with single spaces. Rows that share
@@ -239,23 +272,25 @@ def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     if width < LEAST_WIDTH:
         raise ValueError(f"a window must have {LEAST_WIDTH} words at least")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(block_rows(docs.where("doc_id IS NOT NULL"), width), "blocks")
-    blocks = rows.groupBy("key", "b1", "b2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    blocks = stored(blocks, "block-firsts")
+    blocks = stored(rows.groupBy("key", "b1", "b2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "block-firsts")
     several = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("several"))
     matter = blocks.join(several, "key", "left").where("first < last OR several").select("key", "b1", "b2", "first", F.coalesce("several", F.lit(False)).alias("several"))
     state = rows.join(matter, ["key", "b1", "b2"]).where("first < doc_id OR several").select("doc_id", "b1", (F.col("first") < F.col("doc_id")).alias("done"))
     lists = state.groupBy("doc_id").agg(F.collect_set(F.when(F.col("done"), F.col("b1"))).alias("settled"), F.collect_set(F.when(~F.col("done"), F.col("b1"))).alias("open"))
     lists = stored(lists, "block-states")  # a list is never longer than its own document
-    windows = stored(window_rows(docs.join(lists.where(F.size("open") > 0).select("doc_id", "open"), "doc_id").select("doc_id", "text", "open"), width), "windows")
+    drop_stored(spark, rows, blocks)
+    part = stored(settle(docs.join(lists, "doc_id", "left").select("doc_id", "text", "settled", "open"), width, digest), "settled")
+    opened = part.where("kept IS NULL")
+    windows = opened.select("doc_id", F.explode(F.arrays_zip("w1", "w2")).alias("w")).select("doc_id", "w.w1", "w.w2")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
-    late = windows.join(firsts, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_set("w1").alias("windows"))
-    found = lists.where(F.size("settled") > 0).select("doc_id", "settled").join(late, "doc_id", "full")
-    drop_stored(docs.sparkSession, rows, blocks)
-    return cut(docs.join(found, "doc_id", "left").select("doc_id", "text", "settled", "windows"), width)
+    late = windows.join(firsts, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_set("w1").alias("single"))
+    done = finish(opened.select("doc_id", "text", "settled").join(late, "doc_id", "left").select("doc_id", "text", "settled", "single"), width, digest)
+    return part.where("kept IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept").union(done)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return cut_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return cut_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")

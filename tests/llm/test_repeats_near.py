@@ -38,7 +38,7 @@ EDGES = [(5, None), (6, ""), (7, " \n\t "), (1, "one two"), (2, "one two"), (8,
 @pytest.mark.parametrize("docs", [EDGES, [], *(invented(s, letters=2 + s % 4) for s in range(4))], ids=["edges", "empty", *"abcd"])
 def test_repeats(spark, docs):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS)
-    found = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in repeats.cut_repeats(df).collect()}
+    found = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in repeats.cut_repeats(df).collect()}
     assert found == brute.repeats(docs)
 
 
