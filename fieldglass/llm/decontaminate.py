@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.shared import LOWER, UPPER, drop_stored, lower_ascii, stored
+from fieldglass.llm.shared import LOWER, UPPER, drop_stored, lower_ascii, once, stored
 
 #: Separators of words of whatever case; the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the lower-cased text lie between.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -121,7 +121,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     lists = offsets.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "offset", "terms")).alias("met")).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "key")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     # Always by key: lists grow with the corpus, so a plan that broadcasts them while they are few says little of later.
-    met = keyed.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").withColumn("words", split_words(F.col("text")))
+    met = keyed.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")
+    met = once(met, "words", split_words(F.col("text")))
     edges = F.when(F.element_at("words", 1) == "", 1).otherwise(0) + F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
     lead = F.when(F.element_at("words", 1) == "", 1).otherwise(0)
 
@@ -139,7 +140,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(spans, zero, lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(s["end"] - F.greatest(s["start"], acc["end"]), F.lit(0))).alias("n")), lambda acc: acc["n"])
     empty = F.array().cast("array<struct<item_id:string,start:int,length:int>>")
-    found = met.select("doc_id", "text_key", "text", (F.size("words") - edges).cast("long").alias("n_words"), F.when(F.col("met").isNotNull(), hits).otherwise(empty).alias("hits"))
+    found = once(met.withColumn("n_words", (F.size("words") - edges).cast("long")), "hits", F.when(F.col("met").isNotNull(), hits).otherwise(empty))
     return found.select("doc_id", "text_key", "text", "n_words", F.when(F.size("hits") > 0, covered).otherwise(0).cast("long").alias("n_hit"), "hits")
 
 

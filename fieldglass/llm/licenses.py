@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.llm.shared import once
+
 # Licence notices as their stewards word them.
 TEMPLATES = {
     "Apache-2.0": [
@@ -53,8 +55,8 @@ def normal_words(text: Column) -> Column:
 def bigrams(words: Column) -> Column:
     """The distinct pairs of adjacent words; a single word stands by itself."""
     n = F.size(words)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.get(words, i - 1), F.lit(" "), F.coalesce(F.get(words, i), F.lit(""))))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))))
+    return F.array_distinct(pairs)
 
 
 def template_table(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -81,9 +83,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     marked = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit")))
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
     units = rows.select("doc_id", "text_key", F.explode(F.concat(whole, marked)).alias("u")).select("doc_id", "text_key", "u.line", "u.unit")
-    words = units.withColumn("words", normal_words(F.col("unit"))).where(F.size("words") > fewest).drop("unit")
+    words = once(units, "words", normal_words(F.col("unit"))).where(F.size("words") > fewest).drop("unit")
     # Distinct bigrams are at most words - 1; far longer units may repeat themselves, so their bigrams are counted first.
-    grams = words.withColumn("grams", bigrams(F.col("words"))).withColumn("g", F.size("grams")).where((F.col("g") >= fewest) & (F.col("g") <= most)).drop("words")
+    grams = once(words, "grams", bigrams(F.col("words"))).withColumn("g", F.size("grams")).where((F.col("g") >= fewest) & (F.col("g") <= most)).drop("words")
     close = (F.col("g") * ratio >= F.col("t")) & (F.col("g") <= F.col("t") * ratio)
     shared = F.size(F.array_intersect("grams", "t_grams"))
     scored = grams.join(F.broadcast(table), close).withColumn("dice", 2 * shared / (F.col("g") + F.col("t"))).where(F.col("dice") >= least)

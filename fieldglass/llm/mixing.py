@@ -46,11 +46,11 @@ def cyclic_targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     rank = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     before, rest = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(0, Window.unboundedFollowing)
     whole = F.sum("source_size").over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    limit = most * F.col("source_size")
+    # What each row would get for its weight if all rows before it stopped: highest where that is true.
     level = (whole - F.coalesce(most * F.sum("source_size").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    stops = weighed.withColumn("level", level).withColumn("stops", limit <= level * F.col("weight"))
-    free = F.min(F.when(~F.col("stops"), F.col("level"))).over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    share = F.when(F.col("stops"), limit).otherwise(free * F.col("weight")).cast("double")
+    every = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = F.least(most * F.col("source_size"), F.col("level") * F.col("weight")).cast("double")
+    stops = weighed.withColumn("level", level).withColumn("level", F.max("level").over(every))
     return stops.select("source", "source_size", (F.col("source_size") / F.col("docs")).alias("scale"), share.alias("target"))
 
 

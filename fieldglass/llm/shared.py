@@ -60,6 +60,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as column `name`, computed once a row: the generator keeps Catalyst from writing the expression out
+    wherever the column is used, in the worst case for each element within a lambda."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow by pieces of at most `rows` rows, so that what fn makes stays small beside long texts."""
 
