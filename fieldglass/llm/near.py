@@ -86,11 +86,12 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         values = np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    # Always by key: ids grow with the corpus, so a plan that broadcasts them while they are few says little of later.
+    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
     return mapped(wanted, build, "doc_id long, shingles array<long>", rows=256)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v): those with 100 * intersection >= percent * union, confirmed on the full sets. Written."""
     share = percent / 100
     least = math.floor(HASHES * (share - 7 * math.sqrt(share * (1 - share) / HASHES)))  # seven standard deviations below
@@ -98,15 +99,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, percent: in
     agree = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
     sized = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")  # else the union is too large
     likely = stored(pairs.join(sides[0], "u").join(sides[1], "v").where(sized & (agree >= least)).select("u", "v").distinct(), "likely")
-    sets = stored(_sets(docs, likely.select(F.col("u").alias("doc_id")).union(likely.select("v")).distinct(), width), "sets")
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("u", "v"))
     both = F.size(F.array_intersect("su", "sv"))
     links = stored(likely.join(b, "v").join(a, "u").withColumn("both", both).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v").distinct(), "links")
-    drop_stored(docs.sparkSession, likely, sets)
+    drop_stored(pairs.sparkSession, likely)
     return links
 
 
-def _uncompared(docs: DataFrame, tried: DataFrame, found: DataFrame, signed: DataFrame, percent: int, width: int) -> DataFrame:
+def _uncompared(sets: DataFrame, tried: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that share a key's least class and can have the similarity asked for.
 
     Shingles that no other class in question has can't be in an intersection, so with c the lesser count of the others
@@ -117,8 +117,8 @@ def _uncompared(docs: DataFrame, tried: DataFrame, found: DataFrame, signed: Dat
     placed = groups.join(found.withColumnRenamed("vertex", "v"), "v", "left").select("u", "v", F.coalesce("component", "v").alias("component"))
     several = placed.groupBy("u").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("u")
     doubtful = stored(placed.join(several, "u"), "doubtful")
-    sets = stored(_sets(docs, doubtful.select(F.col("v").alias("doc_id")).distinct(), width).select(F.col("doc_id").alias("v"), F.size("shingles").alias("n"), "shingles"), "doubtful-sets")
-    able = sets.select("v", "n")
+    sets = sets.select(F.col("doc_id").alias("v"), F.size("shingles").alias("n"), "shingles")
+    able = doubtful.select("v").distinct()
     for _ in range(2):
         said = sets.join(able.select("v"), "v", "left_semi").select("v", "n", F.explode("shingles").alias("s"))
         both = said.groupBy("s").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("s")
@@ -152,15 +152,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     banded = signed_reps.select("doc_id", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u <> last").select("key", "u")
     tried = stored(banded.join(shared, "key").select("u", F.col("doc_id").alias("v")).where("u <> v").distinct(), "tried")
-    links = _confirmed(tried, docs, signed_reps, percent, width)
+    sets = stored(_sets(docs, tried.select(F.col("u").alias("doc_id")).union(tried.select("v")).distinct(), width), "sets")
+    links = _confirmed(tried, sets, signed_reps, percent)
     found = stored(connected_components(links), "components")
 
-    more = stored(_uncompared(docs, tried, found, signed_reps, percent, width), "more")
+    more = stored(_uncompared(sets, tried, found, percent), "more")
     if not more.isEmpty():
-        new = _confirmed(more, docs, signed_reps, percent, width)
+        new = _confirmed(more, sets, signed_reps, percent)
         if not new.isEmpty():
             found = stored(connected_components(links.union(new)), "components")
-    drop_stored(docs.sparkSession, tried, more, signed_reps)
+    drop_stored(docs.sparkSession, tried, more, signed_reps, sets)
     at = reps.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(at, ["d1", "d2", "n_shingles"], "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
