@@ -44,24 +44,28 @@ def write_archive(pages: DataFrame, path: str) -> None:
     rows = pages.select("page_id", F.regexp_replace("url", "[\\r\\n\\s]", "%20").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
     big = rows.where(F.octet_length("html") >= LEAST_REVISIT).select("digest", "page_id")
     heads = big.groupBy("digest").agg(F.min("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
-    visits = big.join(heads, "digest").where(~F.col("page_id").eqNullSafe(F.col("head"))).select(F.col("page_id").alias("visit"), F.col("digest").alias("visit_digest"), "head").distinct()
-    turn = F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url"))
-    placed = rows.withColumn("turn", turn).join(visits, F.col("page_id").eqNullSafe(F.col("visit")) & (F.col("digest") == F.col("visit_digest")), "left")
+    # Both the window and the join go by the page alone, so that the payloads are dealt once.
+    visits = big.join(heads, "digest").where(~F.col("page_id").eqNullSafe(F.col("head")))
+    visits = visits.groupBy(page.alias("page")).agg(F.map_from_entries(F.collect_set(F.struct("digest", F.col("head").cast("string")))).alias("heads"))
+    turn = F.row_number().over(Window.partitionBy("page").orderBy("digest", "url"))
+    placed = rows.withColumn("page", page).withColumn("turn", turn)
+    placed = placed.withColumn("turn", F.col("turn") - F.min("turn").over(Window.partitionBy("page", "digest")) + 1)
+    placed = placed.join(visits.hint("merge"), "page", "left").withColumn("refers", F.try_element_at("heads", F.col("digest")))
 
     def rid(kind: str) -> Column:
-        return F.concat(F.lit("<urn:capture:"), page, F.lit(":"), F.col("turn").cast("string"), F.lit(f":{kind}>"))
+        return F.concat(F.lit("<urn:capture:"), F.col("page"), F.lit(":"), F.substring("digest", 1, 16), F.lit("."), F.col("turn").cast("string"), F.lit(f":{kind}>"))
 
     main, size = rid("main"), F.octet_length("html").cast("string")
     shown = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), size, F.lit(END + END))
     profile = F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    refers = F.concat(F.lit("WARC-Refers-To: <urn:capture:"), F.col("head").cast("string"), F.lit(":1:main>"))
+    refers = F.concat(F.lit("WARC-Refers-To: <urn:capture:"), F.col("refers"), F.lit(":"), F.substring("digest", 1, 16), F.lit(".1:main>"))
     none = F.lit(None).cast("string")
-    main_record = F.when(F.col("visit_digest").isNull(), _record("response", main, none, F.col("url"), [shown], "application/http; msgtype=response", F.concat(http, F.col("html")))).otherwise(
+    main_record = F.when(F.col("refers").isNull(), _record("response", main, none, F.col("url"), [shown], "application/http; msgtype=response", F.concat(http, F.col("html")))).otherwise(
         _record("revisit", main, none, F.col("url"), [shown, profile, refers], "application/http; msgtype=response", http)
     )
     asked = F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{END}Accept: text/html{END}{END}"))
-    about = F.concat(F.lit("page-id: "), page, F.lit(END))
+    about = F.concat(F.lit("page-id: "), F.col("page"), F.lit(END))
     records = F.array(
         _record("request", rid("request"), main, F.col("url"), [], "application/http; msgtype=request", asked),
         main_record,
