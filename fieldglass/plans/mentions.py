@@ -28,7 +28,7 @@ def event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.select(
         F.col("event_id").alias("mention_id"),
         F.col("user_id").alias("author_id"),
-        F.col("ts").alias("at"),
+        F.col("ts").alias("seen_at"),
         "value",
         origin.alias("data_origin"),
         cases(F.col("event_id") % 5, dict(enumerate(PLATFORMS))).alias("platform"),
@@ -54,7 +54,7 @@ def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("doc_id").alias("mention_id"),
         F.col("source").alias("author_id"),
-        F.when(F.col("doc_id") % 17 != 0, at).alias("at"),
+        F.when(F.col("doc_id") % 17 != 0, at).alias("seen_at"),
         "text",
         "lang",
         F.element_at(F.split("text", "\n"), 1).alias("title"),
@@ -66,7 +66,7 @@ def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MENTIONS = """
 mentions AS (
-  SELECT e.event_id AS mention_id, e.user_id AS author_id, e.ts AS at, e.value, n.n_name AS district,
+  SELECT e.event_id AS mention_id, e.user_id AS author_id, e.ts AS seen_at, e.value, n.n_name AS district,
     e.event_id % 11 = 0 AS is_duplicate,
     CASE e.user_id % 10 WHEN 8 THEN 'verified_snapshot' WHEN 9 THEN 'demo_seed' ELSE 'live' END AS data_origin,
     CASE e.event_id % 5 WHEN 0 THEN 'youtube' WHEN 1 THEN 'x' WHEN 2 THEN 'news' WHEN 3 THEN 'official' ELSE 'web' END AS platform,
@@ -81,7 +81,7 @@ MENTIONS_SQL = f"WITH {_MENTIONS.strip()}"
 
 DOCUMENTS_SQL = """WITH mentions AS (
   SELECT d.doc_id AS mention_id, d.source AS author_id, d.text, d.lang, split_part(d.text, chr(10), 1) AS title,
-    CASE WHEN d.doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(CAST(d.doc_id * 7919 % 43200 AS INT)) END AS at,
+    CASE WHEN d.doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(CAST(d.doc_id * 7919 % 43200 AS INT)) END AS seen_at,
     CASE d.doc_id % 10 WHEN 8 THEN 'verified_snapshot' WHEN 9 THEN 'demo_seed' ELSE 'live' END AS data_origin,
     CASE d.doc_id % 5 WHEN 0 THEN 'youtube' WHEN 1 THEN 'x' WHEN 2 THEN 'news' WHEN 3 THEN 'official' ELSE 'web' END AS platform,
     CASE WHEN l.quality IS NULL THEN NULL WHEN l.toxic = 1 THEN 'critical' WHEN l.quality = 0 THEN 'mixed' WHEN d.doc_id % 3 = 0 THEN 'supportive' ELSE 'neutral' END AS stance
