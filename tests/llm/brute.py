@@ -85,3 +85,46 @@ def leaks(docs, items, width=10):
                     met |= where[k]
         out[d] = (len(w), len(hit), len(met), sha(",".join(sorted(met))))
     return out
+
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
+    text = text or ""
+    w = words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    repeated = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(grams) < 3000 else None
+    n = len(repeated) if repeated is not None else None
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), n, len(w) < 50 or 100 * n > 50 * len(w)
+
+
+def secrets(text):
+    """Base spans by the contract's patterns, scanned the long way."""
+    text = text or ""
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for k, (name, pattern, least) in enumerate((("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)), 1):
+        for m in re.finditer(pattern, text):
+            if len(m[0]) >= least:
+                found.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(found)]
+
+
+def lattice(word, scores):
+    """Log probability of a word over all segmentations, by listing them."""
+    import math
+
+    def go(s):
+        if not s:
+            return [0.0]
+        out = [scores[s[:k]] + x for k in range(1, len(s) + 1) if s[:k] in scores for x in go(s[k:])]
+        if s[0] not in scores:
+            out += [sum(scores.get(f"<0x{b:02X}>", -30.0) for b in s[0].encode()) + x for x in go(s[1:])]
+        return out
+
+    return math.log(sum(map(math.exp, go("▁" + word))))
