@@ -46,18 +46,26 @@ class Lattice:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max((len(p) for p in scores), default=1)
+        #: The score of each piece, and None for what is only the start of pieces: a walk from a place ends where neither is.
+        self.walk: dict[str, float | None] = {p[:k]: None for p in scores for k in range(1, len(p))} | scores
+
+    def spelled(self, char: str) -> tuple[str, ...]:
+        return tuple(f"<0x{b:02X}>" for b in char.encode("utf-8", "surrogatepass"))
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[str, ...]]]]:
         """For each end: (start, score, pieces). A character that is no piece is spelled by its bytes."""
-        s, scores = SPACE + word, self.scores
-        into: list[list[tuple[int, float, tuple[str, ...]]]] = [[]]
-        for end in range(1, len(s) + 1):
-            found = [(start, scores[p], (p,)) for start in range(max(0, end - self.longest), end) if (p := s[start:end]) in scores]
-            if s[end - 1] not in scores:
-                spelled = tuple(f"<0x{b:02X}>" for b in s[end - 1].encode("utf-8", "surrogatepass"))
-                found.append((end - 1, sum(scores.get(p, -30.0) for p in spelled), spelled))
-            into.append(found)
+        s, scores, get, n = SPACE + word, self.scores, self.walk.get, len(word) + 1
+        into: list[list[tuple[int, float, tuple[str, ...]]]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            if s[start] not in scores:
+                pieces = self.spelled(s[start])
+                into[start + 1].append((start, sum(scores.get(p, -30.0) for p in pieces), pieces))
+            for end in range(start + 1, n + 1):
+                score = get(p := s[start:end], False)
+                if score is False:
+                    break
+                if score is not None:
+                    into[end].append((start, score, (p,)))
         return into
 
     def forward(self, into: list) -> list[float]:
@@ -73,15 +81,26 @@ class Lattice:
 
     def likelihood(self, word: str) -> float:
         """Natural logarithm of the probability of the word over all segmentations."""
-        s, scores, longest = SPACE + word, self.scores, self.longest
-        alpha = [0.0]
-        for end in range(1, len(s) + 1):
-            terms = [alpha[start] + scores[p] for start in range(max(0, end - longest), end) if (p := s[start:end]) in scores]
-            if s[end - 1] not in scores:
-                terms.append(alpha[end - 1] + sum([scores.get(f"<0x{b:02X}>", -30.0) for b in s[end - 1].encode("utf-8", "surrogatepass")]))
-            top = max(terms)
-            alpha.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
-        return alpha[-1]
+        s, scores, get, n = SPACE + word, self.scores, self.walk.get, len(word) + 1
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        terms[0].append(0.0)
+        alpha = 0.0
+        for start in range(n + 1):
+            came = terms[start]
+            if len(came) == 1:
+                alpha = came[0]
+            else:
+                top = max(came)
+                alpha = top + math.log(sum([math.exp(t - top) for t in came]))
+            if start < n and s[start] not in scores:
+                terms[start + 1].append(alpha + sum([scores.get(p, -30.0) for p in self.spelled(s[start])]))
+            for end in range(start + 1, n + 1):
+                score = get(s[start:end], False)
+                if score is False:
+                    break
+                if score is not None:
+                    terms[end].append(alpha + score)
+        return alpha
 
     def expect(self, word: str, times: float, into_counts: dict[str, float]) -> None:
         """Add the expected uses of each piece in `times` of the word (forward and backward)."""
