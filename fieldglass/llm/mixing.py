@@ -8,7 +8,8 @@ that table; multipliers stay in a table of one row a source.
 
 Rates become copies by carrying what rounding left over from one document to the next, the largest first, so that a
 source's tokens come within about one small document of its target. Documents are dealt by source and a hash of their
-doc_id into buckets of some BUCKET documents, whose number follows from the table alone: reruns on any cluster agree.
+doc_id into buckets of some BUCKET documents, whose number follows from the source alone. Sums of the iterations are
+exact decimals, which don't depend on the order of rows: reruns on any cluster agree.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.shared import drop_stored, stored
 
 MOST = 3.0
-BUCKET = 20_000
+BUCKET = 5_000
 #: Relative error of a source's tokens at which the iterations end, and their number at most.
 TOLERANCE, ROUNDS = 1e-6, 40
 
@@ -34,7 +35,7 @@ def n_words(text: Column) -> Column:
 
 
 def cyclic_targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
-    """(source, source_size, scale, target): the sources by code point, null last, weigh 1, 2, 3 and again; together they
+    """(source, source_size, docs, scale, target): the sources by code point, null last, weigh 1, 2, 3 and again; together they
     keep all tokens; none gets more than `most` times its own, and what is above goes to the others by weight.
 
     sizes: source, size, n (documents). All windows here are over one row a source.
@@ -51,22 +52,27 @@ def cyclic_targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     every = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     share = F.least(most * F.col("source_size"), F.col("level") * F.col("weight")).cast("double")
     stops = weighed.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return stops.select("source", "source_size", (F.col("source_size") / F.col("docs")).alias("scale"), share.alias("target"))
+    return stops.select("source", "source_size", "docs", (F.col("source_size") / F.col("docs")).alias("scale"), share.alias("target"))
+
+
+def exact_sum(value: Column) -> Column:
+    """The sum of value to six decimals, the same in any order of rows."""
+    return F.sum(value.cast("decimal(28,6)")).cast("double")
 
 
 def multipliers(sizes: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
-    """(source, m): the dual's solution by Newton steps within a bracket that shrinks. Written after each round."""
+    """targets with m, the dual's solution by Newton steps within a bracket that shrinks. Written after each round."""
     spark = sizes.sparkSession
     top = math.log(most)
     # At m <= 0 rates fall with size; beyond `high` every document of a token or more has the largest rate.
-    state = stored(targets.select("source", "scale", "target", "source_size", F.lit(0.0).alias("m"), F.lit(-1e3).alias("low"), (top * F.greatest("scale", F.lit(1.0)) + 1).alias("high"), F.lit(False).alias("done")), "multipliers")
+    state = stored(targets.select("source", "docs", "scale", "target", "source_size", F.lit(0.0).alias("m"), F.lit(-1e3).alias("low"), (top * F.greatest("scale", F.lit(1.0)) + 1).alias("high"), F.lit(False).alias("done")), "multipliers")
     for _ in range(ROUNDS):
         tilt = F.col("m") * F.col("size") / F.col("scale")
         rate = F.least(F.exp(F.least(tilt, F.lit(top))), F.lit(most))
         tokens = F.col("n") * F.col("size") * rate
         slope = F.when(tilt < top, tokens * F.col("size") / F.col("scale")).otherwise(0.0)
         joined = sizes.where("size > 0").join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        sums = joined.groupBy("source").agg(F.sum(tokens).alias("tokens"), F.sum(slope).alias("slope")).withColumnRenamed("source", "s")
+        sums = joined.groupBy("source").agg(exact_sum(tokens).alias("tokens"), exact_sum(slope).alias("slope")).withColumnRenamed("source", "s")
         now = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0.0)), "slope": F.coalesce("slope", F.lit(0.0))})
         gap = F.col("tokens") - F.col("target")
         low, high = F.when(gap < 0, F.col("m")).otherwise(F.col("low")), F.when(gap > 0, F.col("m")).otherwise(F.col("high"))
@@ -74,11 +80,11 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: float = MOST) -> Dat
         now = now.withColumns({"low": low, "high": high, "step": step, "done": F.abs(gap) <= TOLERANCE * F.greatest("target", F.lit(1.0))})
         inside = (F.col("step") > F.col("low")) & (F.col("step") < F.col("high"))
         m = F.when(F.col("done"), F.col("m")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
-        was, state = state, stored(now.select("source", "scale", "target", "source_size", m.alias("m"), "low", "high", "done"), "multipliers")
+        was, state = state, stored(now.select("source", "docs", "scale", "target", "source_size", m.alias("m"), "low", "high", "done"), "multipliers")
         drop_stored(spark, was)
         if state.where("NOT done").isEmpty():
             break
-    return state.select("source", "source_size", "scale", "target", "m")
+    return state.select("source", "source_size", "docs", "scale", "target", "m")
 
 
 def rounded(rows: DataFrame) -> DataFrame:
@@ -119,9 +125,8 @@ def mix(docs: DataFrame, most: float = MOST) -> DataFrame:
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
     sizes = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     solved = multipliers(sizes, cyclic_targets(sizes, most), most)
-    buckets = max(1, math.ceil(sized.count() / BUCKET))
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.exp(F.least(F.col("m") * F.col("size") / F.col("scale"), F.lit(math.log(most)))), F.lit(most)))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / BUCKET)).cast("int")
     rows = sized.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     out = rounded(rows.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), bucket.alias("bucket"))).drop("bucket")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
