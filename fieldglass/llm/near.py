@@ -124,8 +124,8 @@ def _uncompared(sets: DataFrame, tried: DataFrame, found: DataFrame, percent: in
         both = said.groupBy("s").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("s")
         counted = said.join(both, "s").groupBy("v", "n").agg(F.count("*").alias("c"))
         able = stored(counted.where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n")), "able")
-    rows = doubtful.join(able, "v")
-    rows = stored(rows.join(rows.groupBy("v").agg(F.collect_set("u").alias("us")), "v"), "able-rows")  # a list has a class for each band at most
+    lists = doubtful.groupBy("v").agg(F.min("component").alias("component"), F.collect_set("u").alias("us"))  # a list has a class for each band at most
+    rows = stored(lists.join(able, "v").withColumn("u", F.explode("us")), "able-rows")
     one, two = (rows.select("u", *(F.col(c).alias(f"{c}{k}") for c in ("v", "component", "n", "c", "us"))) for k in (1, 2))
     c = F.least("c1", "c2")
     fits = (F.col("v1") < F.col("v2")) & (F.col("component1") != F.col("component2")) & (F.lit(100) * c >= F.lit(percent) * (F.col("n1") + F.col("n2") - c))
