@@ -42,7 +42,7 @@ t AS (SELECT data_origin, district, topic, row_number() OVER (PARTITION BY data_
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _TOKENS = "list_filter(string_split(" + _NORMAL + ", ' '), lambda x: x <> '')"
 _WORDS = _TOKENS.format("text")
-_CORE = "list_distinct(list_filter(" + _TOKENS + ", lambda x: length(x) > 1 AND x NOT IN ('a','an','and','as','seen_at','by','for','from','in','is','of','on','the','to')))"
+_CORE = "list_distinct(list_filter(" + _TOKENS + ", lambda x: length(x) > 1 AND x NOT IN ('a','an','and','as','at','by','for','from','in','is','of','on','the','to')))"
 
 
 def _hit(where: str, word: str) -> str:
