@@ -50,10 +50,13 @@ def enriched_by(docs: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame])
         for batch in batches:
             try:
                 made = model(batch)[["label", "confidence"]].reset_index(drop=True)
+                if len(made) != len(batch):
+                    raise ValueError("a row for each row")
                 good = made["label"].notna() & made["confidence"].between(0, 1)
                 failure = good.map({True: None, False: "contract"}).astype(object)
             except Exception as e:  # noqa: BLE001 - any fault of the model is a row's result
-                made, good, failure = pd.DataFrame({"label": [None] * len(batch), "confidence": [None] * len(batch)}), False, type(e).__name__
+                made, failure = pd.DataFrame({"label": [None] * len(batch), "confidence": [None] * len(batch)}), type(e).__name__
+                good = pd.Series(False, made.index)
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "label": made["label"].where(good, None), "confidence": made["confidence"].where(good), "failure": failure})
 
     return docs.mapInPandas(run, "doc_id long, label string, confidence double, failure string")
