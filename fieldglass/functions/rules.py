@@ -124,3 +124,29 @@ def rate_text(rate: Column) -> Column:
 
 def percent_text(share: Column) -> Column:
     return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def without(text: Column, phrases: list[str]) -> Column:
+    """Lower case, with each phrase as one space."""
+    out = F.lower(text)
+    for phrase in phrases:
+        out = F.replace(out, F.lit(phrase.lower()), F.lit(" "))
+    return out
+
+
+def count_markers(text: Column, markers: list[str]) -> Column:
+    """How many of the markers occur, each counted once."""
+    said = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.when(said.contains(m.lower()), 1).otherwise(0) for m in markers), F.lit(0))
+
+
+def json_object(text: Column) -> Column:
+    """From the first opening brace to the last closing one, however chatty the rest; null without them."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def error_of(envelope: Column) -> Column:
+    """The result of an error envelope with its status; null for what is no such JSON."""
+    found = F.from_json(F.trim(envelope), "result string, api_error_status int")
+    status = F.when(found["api_error_status"].isNotNull(), F.concat(F.lit(" (HTTP "), found["api_error_status"].cast("string"), F.lit(")"))).otherwise("")
+    return F.when(F.length(found["result"]) > 0, F.concat(found["result"], status))

@@ -35,3 +35,15 @@ def list_phrase(names: Column, most: int = 3) -> Column:
     """The first names and how many more there are."""
     shown = F.array_join(F.slice(names, 1, most), ", ")
     return F.when(F.size(names) > most, F.concat(shown, F.lit(" and "), (F.size(names) - most).cast("string"), F.lit(" more"))).otherwise(shown)
+
+
+def content_text(title: Column, stripped: Column, original: Column, least: int = 20) -> Column:
+    """The stripped body, or the original where too little is left; the title before it unless the body starts with it."""
+    body = F.when(F.length(stripped) >= least, stripped).otherwise(F.coalesce(original, F.lit("")))
+    return F.trim(F.when(F.length(title) > 0, F.when(body.startswith(title), body).otherwise(F.concat(title, F.lit("\n\n"), body))).otherwise(body))
+
+
+def cell(text: Column, most: int = 180) -> Column:
+    """A cell of a Markdown table: bars escaped, on one line, cut to `most` characters; a dash for nothing."""
+    line = F.trim(F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), "\n+", " "))
+    return F.when(F.length(text) > 0, F.substring(line, 1, most)).otherwise("—")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of registry.py."""
 
-from fieldglass.plans import delivery, enrichment, rows
+from fieldglass.plans import delivery, enrichment, rows, texts
 from fieldglass.plans.mentions import DOCUMENTS_SQL, MENTIONS_SQL
 
 _M, _D = MENTIONS_SQL, DOCUMENTS_SQL
@@ -128,3 +128,4 @@ SELECT data_origin, CASE WHEN forward THEN p ELSE q END AS a, CASE WHEN forward
     "win09_top3_districts": _M + ", c AS (SELECT data_origin, topic, district, row_number() OVER (PARTITION BY data_origin, topic ORDER BY count(*) DESC, district) AS r FROM live WHERE district IS NOT NULL GROUP BY 1, 2, 3) SELECT data_origin, topic, string_agg(district, ', ' ORDER BY r) FILTER (r <= 3) AS districts, greatest(count(*) - 3, 0) AS more FROM c GROUP BY 1, 2",
 } | rows.sql(_FINDINGS, _EXACT) | enrichment.sql(_METRICS)
 SQL |= delivery.sql(SQL["scr14_finding_texts"], SQL["src13_transcripts"])
+SQL |= texts.SQL
