@@ -95,3 +95,28 @@ def test_rewriting_template(spark):
     rows = [(1, 0, "user", "a", 0), (1, 1, "assistant", "b", 0), (1, 2, "user", "c", 0)]
     found = chat.rewriting_turns(spark.createDataFrame(rows, TURNS), last_thought_only).collect()
     assert [(r.conv_id, r.seq) for r in found] == [(1, 2)]
+
+
+def test_rewriting_of_far_turns(spark):
+    """Templates that rewrite turns well before the last: what is found agrees with rendering every whole prefix."""
+
+    def thoughts_until_user(turns):
+        last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"<{r}>{t if r != 'assistant' or i > last else ''}</{r}>" for i, (r, t) in enumerate(turns))
+
+    def five_turns(turns):
+        return "".join(f"<{r}>{t}</{r}>" for r, t in turns[-5:])
+
+    def numbered(turns):
+        return "".join(f"<{i} {r}>{t}</{r}>" for i, (r, t) in enumerate(turns))
+
+    roles = ["user", "assistant", "tool", "tool", "tool", "user", "tool", "tool"]
+    rows = [(1, i, r, f"text {i}", 0) for i, r in enumerate(roles)]
+    turns = [(r[2], r[3]) for r in rows]
+    for template, rewriting in ((thoughts_until_user, [5]), (five_turns, [5, 6, 7]), (numbered, [])):
+        found = chat.format_conversations(spark.createDataFrame(rows, TURNS), template).collect()
+        assert [r.seq for r in found if r.rewritten] == rewriting
+        for r in found:
+            was, now = template(turns[: r.seq]), template(turns[: r.seq + 1])
+            assert r.chunk == (now if r.rewritten else now[len(was) :])
+            assert r.rewritten or r.chunk[r.text_start : r.text_end] == turns[r.seq][1]
