@@ -1,8 +1,10 @@
 """Secret scans: patterns, then structural confirmation.
 
 The base patterns report by shape alone. Other long tokens are candidates only: they are reported when base64 or hex
-decodes to a key encoding (DER whose nested lengths fit, PEM armour around such DER), or when a signed token's header
-and claims parse as JSON objects. Everything is judged within one text, so a row needs no other row.
+decodes to a key encoding (DER whose nested lengths fit, PEM armour around such DER), or when the first of three or
+five dotted parts decodes to a JSON object that names an algorithm. Base64 keys may be wrapped over lines and may begin
+within a longer run: the length in their DER tells where they end. Everything is judged within one text, so a row needs
+no other row.
 """
 
 from __future__ import annotations
@@ -23,8 +25,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # greedy runs: the same spans as all runs of which the short ones are dropped
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.A)
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+", re.A)
-PACKED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}", re.A)
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+(?:\.[A-Za-z0-9_-]*){2,}", re.A)  # no header is shorter: {"alg":""}
+#: Where a header can begin: at the start of a part or after - or _, with what { or blanks or a byte order mark are in base64.
+HEADER = re.compile(r"(?<![A-Za-z0-9])[eICD7]", re.A)
+#: Where a DER sequence can begin: base64 of 0x30 and a length. Its characters may be wrapped over lines.
+SEQUENCE = re.compile(r"M(?=(?:[ \t\r]*\n[ \t]*)?[A-I])")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]+", re.A)
+WRAP = re.compile(r"[ \t\r]*\n[ \t]*")
+PAD = re.compile(r"={0,2}")
 HEX_PACKED = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}", re.A)
 #: Kinds in their order at one start; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "signed", "der", "der_hex")
@@ -80,20 +88,76 @@ def is_key(data: bytes | None) -> bool:
     return (len(tags) >= 5 and set(tags) == {0x02}) or tags[0] == 0x04  # RSA or DSA numbers; SEC 1 octets
 
 
-def is_header(part: str) -> bool:
-    """A signed token's header: a JSON object that names its algorithm."""
+def header_of(part: str) -> dict | None:
+    """A signed or encrypted token's header: a JSON object that names its algorithm."""
     try:
         found = json.loads(unpacked(part) or b"")
-    except ValueError:
-        return False
-    return isinstance(found, dict) and isinstance(found.get("alg"), str)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) and isinstance(found.get("alg"), str) else None
 
 
-def is_object(part: str) -> bool:
-    try:
-        return isinstance(json.loads(unpacked(part) or b""), dict)
-    except ValueError:
-        return False
+def signed_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of signed (three parts) and encrypted tokens (five): any dotted parts of which the first is a header.
+
+    Claims may be anything, also empty; the last part may be empty only if the header says that nothing is signed.
+    """
+    found = []
+    for m in DOTTED.finditer(text):
+        done = m.start()
+        ends = [m.start() + i for i, x in enumerate(m[0]) if x == "."] + [m.end()]
+        parts = list(zip([m.start(), *(e + 1 for e in ends)], ends, strict=False))
+        for i, (start, end) in enumerate(parts[:-2]):
+            if start < done or end - start < 14:
+                continue
+            for h in HEADER.finditer(text, start, end):
+                head = (unpacked(text[h.start() : h.start() + 8]) or b"").removeprefix(b"\xef\xbb\xbf").lstrip()
+                header = header_of(text[h.start() : end]) if head[:1] in (b"", b"{") else None
+                if header is None:
+                    continue
+                n = 5 if "enc" in header and i + 5 <= len(parts) and parts[i + 4][0] < parts[i + 4][1] else 3
+                last = parts[i + n - 1]
+                if last[0] < last[1] or header["alg"].lower() == "none" and parts[i + 1][0] < parts[i + 1][1]:
+                    found.append((h.start(), last[1]))
+                    done = last[1]
+                    break
+    return found
+
+
+def gathered(text: str, at: int, want: int) -> tuple[str, int]:
+    """Up to `want` base64 characters from text[at:] on, line breaks and indents left out, and where they end."""
+    out, n = [], 0
+    while m := BASE64.match(text, at, at + want - n):
+        out.append(m[0])
+        n, at = n + len(m[0]), m.end()
+        wrap = n < want and WRAP.match(text, at)
+        if not wrap or not BASE64.match(text, wrap.end()):
+            break
+        at = wrap.end()
+    return "".join(out), at
+
+
+def key_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of base64 keys without armour, wherever they begin and however they are wrapped; none within `taken`."""
+    found, done = [], 0
+    for m in SEQUENCE.finditer(text):
+        if m.start() < done or any(s <= m.start() < e for s, e in taken):
+            continue
+        head = unpacked(gathered(text, m.start(), 12)[0]) or b""
+        if len(head) < 9 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+            continue
+        more = head[1] & 0x7F if head[1] & 0x80 else 0
+        size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+        if head[2 + more : 4 + more] != b"\x02\x01":  # a private key's version
+            continue
+        want = -(-size * 4 // 3)
+        if want > len(text) - m.start():
+            continue
+        bare, end = gathered(text, m.start(), want)
+        if len(bare) == want and is_key(unpacked(bare)):
+            done = PAD.match(text, end).end()
+            found.append((m.start(), done))
+    return found
 
 
 def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -110,11 +174,10 @@ def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
         found += [("pem", *m.span()) for m in PEM.finditer(text) if "ENCRYPTED" in m[1] or "OPENSSH" in m[1] or is_key(unpacked("".join(m[2].split())))]
-    if long >= 40:
-        if "eyJ" in text:
-            found += [("signed", *m.span()) for m in SIGNED.finditer(text) if is_header(m[1]) and is_object(m[2])]
-        taken = [(s, e) for k, s, e in found if k == "pem"]
-        found += [("der", *m.span()) for m in PACKED.finditer(text) if m[0][0] == "M" and not any(s <= m.start() < e for s, e in taken) and is_key(unpacked(m[0]))]
+    if long >= 18:
+        found += [("signed", *span) for span in signed_spans(text)]
+    found += [("der", *span) for span in key_spans(text, [(s, e) for k, s, e in found if k == "pem"])]
+    if long >= 64:
         found += [("der_hex", *m.span()) for m in HEX_PACKED.finditer(text) if m[0][:2] == "30" and len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

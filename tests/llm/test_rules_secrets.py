@@ -96,3 +96,41 @@ def test_secret_columns_and_redaction(spark):
     clean = secrets.stage(spark, df, "")
     assert clean.schema == df.schema and [r.text for r in clean.collect()] == ["a [assign] b"] * 2 + [None]
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def dotted(*parts):
+    return ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in parts)
+
+
+BLANK = dotted(b'{ "alg":"HS256"}', b'{ "sub":"1"}', b"0" * 32)
+BROKEN = dotted(b'{\n "alg":"HS256"}', b"plain claims, no object", b"0" * 32)
+PACKED_LINES = {n: "\n".join(PACKED[i : i + n] for i in range(0, len(PACKED), n)) for n in (30, 64, 76)}
+SEALED = dotted(b'{"alg":"RSA-OAEP","enc":"A256GCM"}', b"k" * 32, b"i" * 12, b"text" * 9, b"t" * 16)
+DIRECT = dotted(b'{"alg":"dir","enc":"A256GCM"}', b"", b"i" * 12, b"text" * 9, b"t" * 16)
+HIDDEN = [
+    ("a ", BLANK, " b", "signed"),
+    ("a ", BROKEN, ". Then", "signed"),
+    ("Bearer.", JWT, ".log", "signed"),
+    ("jwt_", JWT, "", "signed"),
+    ("", SEALED, ".", "signed"),
+    ("", DIRECT, "", "signed"),
+    ("", dotted(b'{"alg":"none"}', b'{"sub":"1"}', b""), " end", "signed"),
+    *(("key:\n", lines, "\nand more words", "der") for lines in PACKED_LINES.values()),
+    ("key:\n    ", PACKED_LINES[64].replace("\n", "\r\n    "), "\r\n    words", "der"),
+    ("my-", PACKED, "", "der"),
+    ("a/", PACKED, "\n", "der"),
+    ("blobA_", PACKED.rstrip("="), "-tail", "der"),
+    ("", base64.urlsafe_b64encode(KEY).decode(), "", "der"),
+]
+
+
+@pytest.mark.parametrize("before, secret, after, kind", HIDDEN, ids=range(len(HIDDEN)))
+def test_hidden_tokens(before, secret, after, kind):
+    text = before + secret + after
+    assert secrets.secret_spans(text) == [(kind, len(before), len(before + secret))]
+    assert secrets.redacted(text) == f"{before}[{kind}]{after}"
+
+
+@pytest.mark.parametrize("text", [dotted(b'{"typ":"HS256"}', b'{"sub":"1"}', b"0" * 32), dotted(b'{"alg":"HS256"}', b'{"sub":"1"}'), "www.a-long-example-host.example.org", "-".join(["eyI"] * 9_000) + ".a.b", "MII" * 30_000, "eA" * 40_000])
+def test_no_tokens(text):
+    assert secrets.secret_spans(text) == []
