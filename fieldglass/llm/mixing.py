@@ -8,7 +8,7 @@ that table; multipliers stay in a table of one row a source.
 
 Rates become copies by carrying what rounding left over from one document to the next, the largest first, so that a
 source's tokens come within about one small document of its target. Documents are dealt by source and a hash of their
-doc_id into buckets of some BUCKET documents, whose number follows from the source alone. Sums of the iterations are
+doc_id, or of their text without one, into buckets of some BUCKET documents, whose number follows from the source alone. Sums of the iterations are
 exact decimals, which don't depend on the order of rows: reruns on any cluster agree.
 """
 
@@ -88,7 +88,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: float = MOST) -> Dat
 
 
 def rounded(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, source, size, rate, bucket, ...) with copies: floor or ceiling of the rate, whichever leaves less over.
+    """rows (doc_id, text_key, source, size, rate, bucket, ...) with copies: floor or ceiling of the rate, whichever leaves less over.
 
     What is left over goes on to the next document of the source and bucket; rows without tokens have one copy.
     """
@@ -112,23 +112,23 @@ def rounded(rows: DataFrame) -> DataFrame:
                 copies.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.int32())], names=[*batch.schema.names, "copies"])
 
-    dealt = rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "doc_id")
+    dealt = rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "doc_id", "text_key")
     return dealt.mapInArrow(run, f"{fields}, copies int")
 
 
-def mix(docs: DataFrame, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, most: float = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of docs (doc_id, source, text): doc_id, source, size, source_size, target, rate, copies, taken.
 
     Null and blank texts have size 0, rate 1 and one copy. Null is a source of its own, the last. Rows that share a
-    doc_id are documents of their own. Other columns are ignored; no rows give no rows.
+    doc_id are documents of their own. Columns named in `keep` come along, others are ignored; no rows give no rows.
     """
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    sized = stored(docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "source", n_words(F.col("text")).alias("size")), "sizes")
     sizes = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     solved = multipliers(sizes, cyclic_targets(sizes, most), most)
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.exp(F.least(F.col("m") * F.col("size") / F.col("scale"), F.lit(math.log(most)))), F.lit(most)))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / BUCKET)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key")), F.ceil(F.col("docs") / BUCKET)).cast("int")
     rows = sized.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    out = rounded(rows.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"), bucket.alias("bucket"))).drop("bucket")
+    out = rounded(rows.select(*keep, "doc_id", "text_key", "source", "size", "source_size", "target", rate.alias("rate"), bucket.alias("bucket"))).drop("bucket", "text_key")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -137,7 +137,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as often as the mix takes them, with the number of the copy (from 1) as copy."""
-    copies = mix(docs).where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    held = docs.drop("copy").join(copies.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"))
-    return held.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies")
+    """docs as often as the mix takes them, with the number of the copy (from 1) as copy.
+
+    Every row is a document of its own, whether or not it has a doc_id or shares it: rows are numbered and written, so
+    that both readings see the same numbers.
+    """
+    numbered = stored(docs.drop("copy").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    copies = mix(numbered, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    return numbered.join(copies, "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies")

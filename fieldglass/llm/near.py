@@ -147,13 +147,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     classes = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
     reps = stored(classes, "classes")
     own = signed.join(reps.select("d1", "d2", "n_shingles", F.col("rep").alias("doc_id")), ["d1", "d2", "n_shingles", "doc_id"], "left_semi")
-    signed_reps = stored(own.select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id", "n_shingles"]), "reps")
+    one_each = own.dropDuplicates(["doc_id", "d1", "d2", "n_shingles"])  # an id has a row for each of its texts
+    signed_reps = stored(one_each.select("doc_id", "n_shingles", "signature"), "reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(HASHES // BAND - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * BAND + 1, BAND)))
     banded = signed_reps.select("doc_id", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u <> last").select("key", "u")
     tried = stored(banded.join(shared, "key").select("u", F.col("doc_id").alias("v")).where("u <> v").distinct(), "tried")
     sets = stored(_sets(docs, tried.select(F.col("u").alias("doc_id")).union(tried.select("v")).distinct(), width), "sets")
     links = _confirmed(tried, sets, signed_reps, percent)
+    text = F.struct("d1", "d2", "n_shingles")
+    shared_ids = stored(signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id"), "shared-ids")
+    several = not shared_ids.isEmpty()
+    if several:  # the classes of the texts under one id are linked by it
+        named = signed.join(shared_ids, "doc_id").join(reps, ["d1", "d2", "n_shingles"])
+        links = links.union(named.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct())
     found = stored(connected_components(links), "components")
 
     more = stored(_uncompared(sets, tried, found, percent), "more")
@@ -165,7 +172,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     at = reps.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(at, ["d1", "d2", "n_shingles"], "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", whole.alias("component_id"))
+    if several:  # a blank text goes where the others under its id are
+        least = out.join(shared_ids, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,11 +184,16 @@ def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity of 0.8 or more): that with the least doc_id.
+    """One text of each group of near-duplicates (similarity of 0.8 or more): that with the least doc_id.
 
-    Of rows that share a doc_id the one with the least text stays; rows without a doc_id all stay.
+    Rows go by the group of their own text alone: different texts under one doc_id all stay, and of alike ones under
+    the least doc_id that with the least hash. Rows equal in doc_id and text count once; rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("__first", first).where("__first = 1")
+    named = docs.where("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    found = near_duplicates(named.select(F.col("__text").alias("doc_id"), "text")).select(F.col("doc_id").alias("__text"), "component_id").distinct()
+    ids = named.select("__text", "doc_id").distinct().join(found, "__text")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__text")).alias("least")).select("least.__text")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("__text").orderBy(F.xxhash64(F.lit(0), *rest)))
+    one = named.join(kept, "__text", "left_semi").withColumn("__first", first).where("__first = 1")
     return one.select(docs.columns).union(docs.where("doc_id IS NULL").select(docs.columns))

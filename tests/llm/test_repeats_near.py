@@ -91,3 +91,19 @@ def test_near_stage_keeps_one(spark):
     out = near.stage(spark, spark.createDataFrame(rows, DOCS), "")
     assert out.columns == ["doc_id", "text", "kept"]
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 2, 8, 9]
+
+
+def test_near_shared_ids(spark):
+    """Rows that share an id are one vertex, whichever of their texts a link is by; sets of equal size are told apart."""
+    words = [[f"{c}{i}" for i in range(80)] for c in "abcd"]
+    a, b, c, d = (" ".join(w) for w in words)
+    docs = [(5, a), (5, b), (7, a + " x"), (9, b + " y"), (3, c), (11, c), (11, d), (12, d + " z"), (12, None), (20, "else")]
+    found = near.near_duplicates(spark.createDataFrame([(i, t, "k") for i, t in docs], DOCS), 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5), (11, 3), (11, 3), (12, 3), (12, 3), (20, 20)]
+
+
+def test_near_stage_keeps_other_texts_of_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(5, a, "k"), (5, b, "k"), (7, b + " x", "k"), (5, b, "k"), (None, a, "k"), (None, a, "k")]
+    out = near.stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, a), (0, a), (5, a), (5, b)]
