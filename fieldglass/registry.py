@@ -169,8 +169,8 @@ def alerts(mentions: DataFrame) -> DataFrame:
     return N.alerts(ranked, sent)
 
 
-def streamed(plan: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: stream.drained(plan(stream.event_stream(spark, sf_dir)))
+def streamed(plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> Query:
+    return lambda spark, sf_dir: stream.drained(plan(stream.event_stream(spark, sf_dir)), mode)
 
 
 def queries() -> dict[str, Query]:
@@ -214,8 +214,8 @@ def queries() -> dict[str, Query]:
         "stg05_near_pairs": on_documents(dedup.near_pairs),
         "stg05_greedy_dedup": on_documents(dedup.dedup_status),
         "str02_dedupe_stream": streamed(lambda e: stream.deduplicated(e).select("event_id", "user_id")),
-        "str04_sliding_window_stream": streamed(stream.sliding_counts),
-        "str08_session_stream": streamed(stream.sessions),
+        "str04_sliding_window_stream": streamed(stream.sliding_counts, "complete"),
+        "str08_session_stream": streamed(stream.sessions, "complete"),
         "txt01_normalize": on("documents", lambda d: d.select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))),
         "txt03_shingle_counts": on("documents", shingle_counts),
         "txt08_boilerplate": on("documents", boilerplate),

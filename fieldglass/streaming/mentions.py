@@ -18,11 +18,23 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that the stream yields for what is there now, as a table in the shared folder; restarts go on from its checkpoint."""
+    """All that the stream yields for what is there now, as a table in the shared folder; restarts go on from its checkpoint.
+
+    Mode complete is for aggregations: each batch writes the whole result so far, and the last one is the table.
+    """
     spark = stream.sparkSession
     out, state = work_path(spark, "stream"), work_path(spark, "stream-state")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out)
+    written: list[str] = []
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        written.append(f"{out}/{number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    query = writer.foreachBatch(upsert).start() if mode == "complete" else writer.format("parquet").start(out)
     query.awaitTermination()
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -30,11 +42,13 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def sliding_counts(events: DataFrame, length: str = "1 day", step: str = "12 hours", delay: str = "1 hour") -> DataFrame:
-    found = events.withWatermark("ts", delay).groupBy(F.window("ts", length, step), "event_type").agg(F.count("*").alias("n"))
+def sliding_counts(events: DataFrame, length: str = "1 day", step: str = "12 hours") -> DataFrame:
+    """Rows of each window and type. Without a watermark, so that late rows always count; drain in mode complete."""
+    found = events.groupBy(F.window("ts", length, step), "event_type").agg(F.count("*").alias("n"))
     return found.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n")
 
 
-def sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    found = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
+    """Sessions of each user, open ones too. Without a watermark, so that late rows always count; drain in mode complete."""
+    found = events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
