@@ -1,30 +1,21 @@
-"""64-bit names of words and of word sequences, computed a batch of texts at a time with numpy.
+"""128-bit names of words and of word sequences.
 
-A name depends on content alone, so equal sequences get equal names on every executor without a shared dictionary.
+A word's name is its BLAKE2b digest, so equal words, and no others, get equal names on every executor without a shared
+dictionary. Names of sequences mix the names of their parts: two lanes of 64 bits, each from its own half of the digest.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: Odd multipliers: of bytes (one for each of two independent lanes), of the parts of a pair, and of the final mix.
-_BYTE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _LEFT, _RIGHT, _LAST = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xFF51AFD7ED558CCD)
-_LONGEST = 1 << 14
-
-
-def _powers(r: int) -> np.ndarray:
-    out = np.empty(_LONGEST, np.uint64)
-    x = 1
-    for i in range(_LONGEST):
-        out[i] = x
-        x = x * r & (1 << 64) - 1
-    return out
-
-
-_POWERS: list[np.ndarray] = []
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text that are split at once.
+CHUNK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,36 +38,56 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_names(texts: list[bytes], lanes: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
-    """Names of the words `[^\\x20\\x09-\\x0D]+` of all texts in turn, one array a lane, and the texts' bounds in them (one more than texts)."""
-    if not _POWERS:
-        _POWERS.extend(map(_powers, _BYTE))
-    data = np.frombuffer(b"\n".join([*texts, b""]) or b"\n", np.uint8)
-    blank = _BLANK[data]
-    first = ~blank
-    first[1:] &= blank[:-1]
-    starts = np.flatnonzero(first)
-    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-    bounds = np.searchsorted(starts, at)
-    if not len(starts):
-        return [np.empty(0, np.uint64) for _ in range(lanes)], bounds
-    place = np.arange(len(data), dtype=np.int64)
-    begin = np.zeros(len(data), np.int64)
-    begin[starts] = starts
-    place -= np.maximum.accumulate(begin)
-    place &= _LONGEST - 1
-    value = data.astype(np.uint64)
-    value += np.uint64(1)
-    value[blank] = 0
-    length = np.add.reduceat((~blank).view(np.uint8).astype(np.int64), starts).astype(np.uint64)
-    out = []
-    for powers in _POWERS[:lanes]:
-        out.append(mixed(np.add.reduceat(value * powers[place], starts) + length * _RIGHT))
-    return out, bounds
-
-
-def in_pieces(texts: list[bytes], most: int = 1 << 20):
-    """(start, end) of runs of texts of about `most` bytes together, one text at least."""
+class Namer(dict):
+    """Digests of the words met, so that a frequent word is digested once. Forgets all when it holds too much."""
+
+    WORDS, BYTES = 1 << 19, 32 << 20
+
+    def __init__(self):
+        super().__init__()
+        self.digests, self.held = bytearray(), 0
+
+    def __reduce__(self):  # tasks start with none
+        return Namer, ()
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.digests += blake2b(word, digest_size=16).digest()
+        self.held += len(word)
+        return at
+
+    def named(self, words: list[bytes]) -> np.ndarray:
+        """An array of (two lanes, words)."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out = np.frombuffer(self.digests, np.uint64).reshape(-1, 2)[at].T
+        if len(self) > self.WORDS or self.held > self.BYTES:
+            self.clear()
+            self.digests, self.held = bytearray(), 0
+        return out
+
+
+def chunks(text: bytes, most: int = CHUNK) -> Iterator[bytes]:
+    """text in parts of about `most` bytes that end at blanks."""
+    at = 0
+    while at < len(text):
+        end = _BLANK.search(text, at + most) if at + most < len(text) else None
+        stop = end.end() if end else len(text)
+        yield text[at:stop]
+        at = stop
+
+
+def word_names(texts: list[bytes], namer: Namer) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the words `[^\\x20\\x09-\\x0D]+` of all texts in turn, as (two lanes, words), and the texts' bounds in them (one more than texts)."""
+    words: list[bytes] = []
+    bounds = [0]
+    for text in texts:
+        words += text.split()  # bytes split at \x20 and \x09-\x0D only
+        bounds.append(len(words))
+    return np.ascontiguousarray(namer.named(words)), np.array(bounds, np.int64)
+
+
+def in_pieces(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts of about `most` bytes together; a longer text is one by itself."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         if i > at and size + len(t) > most:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm.components import connected_components
-from fieldglass.llm.names import in_pieces, mixed, paired, word_names
+from fieldglass.llm.names import CHUNK, Namer, chunks, in_pieces, mixed, paired, word_names
 from fieldglass.llm.shared import LOWER_BYTES, drop_stored, mapped, stored, text_bytes
 
 HASHES, BAND = 128, 4
@@ -30,24 +30,47 @@ _A = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(
 _B = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64)
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """The sorted distinct shingles of each text, as names. Fewer words than width, but not none: the whole sequence."""
+def _grams(names: np.ndarray, width: int) -> np.ndarray:
+    grams = names
+    for k in range(1, width):
+        grams = paired(grams[:-1], names[k:]) if len(names) > k else grams[:0]
+    return grams
+
+
+def _long_set(text: bytes, width: int, namer: Namer) -> np.ndarray:
+    """The shingles of one text, made from a part of it at a time; parts overlap by all but one word of a shingle."""
+    tail, found = np.empty(0, np.uint64), []
+    for chunk in chunks(text):
+        names = np.concatenate([tail, word_names([chunk.translate(LOWER_BYTES)], namer)[0][0]])
+        found.append(np.unique(_grams(names, width)))
+        tail = names[max(0, len(names) - width + 1) :]
+    whole = np.unique(np.concatenate(found))
+    return whole if len(whole) else _whole(tail, width)
+
+
+def _whole(names: np.ndarray, width: int) -> np.ndarray:
+    """The one shingle of a text of fewer words than a shingle has; none of a text without words."""
+    if not len(names):
+        return names
+    out = mixed(np.array([width * 1000 + len(names)], np.uint64))
+    for k in range(len(names)):
+        out = paired(out, names[k : k + 1])
+    return out
+
+
+def shingle_sets(texts: list[bytes], width: int, namer: Namer) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text, as 64-bit names made of its words' digests. Fewer words than width, but
+    not none: the whole sequence. Sets are compared a pair of documents at a time, for which 64 bits suffice."""
     out = []
     for start, end in in_pieces(texts):
-        (names,), bounds = word_names([t.translate(LOWER_BYTES) for t in texts[start:end]])
-        grams = names
-        for k in range(1, width):
-            grams = paired(grams[:-1], names[k:]) if len(names) > k else grams[:0]
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if e - s >= width:
-                out.append(np.unique(grams[s : e - width + 1]))
-            elif e > s:
-                whole = mixed(np.array([width * 1000 + e - s], np.uint64))
-                for k in range(s, e):
-                    whole = paired(whole, names[k : k + 1])
-                out.append(whole)
-            else:
-                out.append(names[:0])
+        if end - start == 1 and len(texts[start]) > 2 * CHUNK:
+            out.append(_long_set(texts[start], width, namer))
+            continue
+        lanes, bounds = word_names([t.translate(LOWER_BYTES) for t in texts[start:end]], namer)
+        names = lanes[0]
+        grams = _grams(names, width)
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out.append(np.unique(grams[s : e - width + 1]) if e - s >= width else _whole(names[s:e], width))
     return out
 
 
@@ -63,9 +86,10 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digest of the set), signature (array of HASHES ints, null for an empty set)."""
+    namer = Namer()
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(text_bytes(batch.column(1)), width)
+        sets = shingle_sets(text_bytes(batch.column(1)), width, namer)
         sums = [(int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) for s in sets]
         made = np.concatenate([minima(s) for s in sets if len(s)] or [np.empty(0, np.int32)])
         full = np.array([len(s) > 0 for s in sets], bool)
@@ -79,9 +103,10 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles) of the documents whose ids are given."""
+    namer = Namer()
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(text_bytes(batch.column(1)), width)
+        sets = shingle_sets(text_bytes(batch.column(1)), width, namer)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         values = np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "shingles"])

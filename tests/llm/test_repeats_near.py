@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 from fieldglass.llm import near, repeats
+from fieldglass.llm.names import Namer, word_names
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, kept string"
@@ -107,3 +109,46 @@ def test_near_stage_keeps_other_texts_of_an_id(spark):
     rows = [(5, a, "k"), (5, b, "k"), (7, b + " x", "k"), (5, b, "k"), (None, a, "k"), (None, a, "k")]
     out = near.stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, a), (0, a), (5, a), (5, b)]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+HALF = "".join(chr(97 + i * i % 23) for i in range(1 << 14))
+LONG_WORDS = [(HALF + "q" * (1 << 14), "q" * (1 << 14) + HALF), *((thue_morse(n), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096))]
+
+
+@pytest.mark.parametrize("one, two", LONG_WORDS, ids=["halves", "1k", "2k", "4k"])
+def test_long_words_are_told_apart(spark, one, two):
+    names, _ = word_names([f"{one} {two}".encode()], Namer())
+    assert (names[:, 0] != names[:, 1]).all()
+    rest = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, f"{one} {rest[:100]}"), (2, f"{two} {rest[:100]}"), (3, " ".join([one] * 30)), (4, " ".join([two] * 30)), (5, f"{rest[:150]} {one} {rest[150:]}"), (6, f"{rest[:150]} {two} {rest[150:]}")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS)
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in repeats.cut_repeats(df, width=20).collect()} == brute.repeats(docs, 20)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, 85).collect()} == brute.near(docs)
+
+
+def test_texts_of_several_parts(spark):
+    r = random.Random(5)
+    some = [f"{r.getrandbits(200):x}" for _ in range(60_000)]  # some 3 MB
+    docs = [(1, " ".join(some)), (2, " ".join(some[20_000:50_000] + some[:45_000])), (3, " ".join(some[1:] + ["x"])), (4, " ".join(some[100:180]))]
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS)
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in repeats.cut_repeats(df).collect()} == brute.repeats(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, 85).collect()} == brute.near(docs)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_equal_windows_have_equal_anchors(seed):
+    """Whatever is around a window, its anchor's place and key are those of the window."""
+    r = random.Random(seed)
+    base = [r.choice("ab" if seed % 2 else "abcdefghijklmnop") for _ in range(300)]
+    texts = [" ".join([r.choice("abq") for _ in range(r.randint(0, 90))] + base[(i := r.randrange(200)) : i + 100] + [r.choice("ab")] * r.randint(0, 80)) for _ in range(12)]
+    found = {}
+    for _, _, p in repeats.parsed([t.encode() for t in texts], 50, Namer()):
+        for first, count, key, start in zip(p.first, p.count, p.keys(), p.anchor[2], strict=True):
+            for at in range(first, first + count):
+                name = int(p.window_names(np.array([at]))[0][0])
+                assert found.setdefault(name, (int(key), int(start - at))) == (int(key), int(start - at))
+    assert len(found) > 50
