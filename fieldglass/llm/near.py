@@ -132,31 +132,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, signed: DataFrame, percent: in
 
 
 def _uncompared(sets: DataFrame, tried: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a key's least class and can have the similarity asked for.
+    """Pairs (u, v) of different components, of classes that share a key's least one with another component, that can
+    have the similarity asked for. Written.
 
     Shingles that no other class in question has can't be in an intersection, so with c the lesser count of the others
     no pair exceeds c / (n1 + n2 - c). Classes that this rules out for every partner go, twice, as the rest then has
     fewer partners. Documents with a passage in common, and copies too far from each other, so make no pairs at all.
+    What is left meets by its rarest shingles, never by a key that thousands of classes share.
     """
     groups = tried.select("u", "v").union(tried.select("u", F.col("u").alias("v")).distinct())
     placed = groups.join(found.withColumnRenamed("vertex", "v"), "v", "left").select("u", "v", F.coalesce("component", "v").alias("component"))
     several = placed.groupBy("u").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("u")
     doubtful = stored(placed.join(several, "u"), "doubtful")
     sets = sets.select(F.col("doc_id").alias("v"), F.size("shingles").alias("n"), "shingles")
-    able = doubtful.select("v").distinct()
+    able, used = doubtful.select("v").distinct(), [doubtful]
     for _ in range(2):
         said = sets.join(able.select("v"), "v", "left_semi").select("v", "n", F.explode("shingles").alias("s"))
         both = said.groupBy("s").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("s")
         counted = said.join(both, "s").groupBy("v", "n").agg(F.count("*").alias("c"))
         able = stored(counted.where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n")), "able")
-    lists = doubtful.groupBy("v").agg(F.min("component").alias("component"), F.collect_set("u").alias("us"))  # a list has a class for each band at most
-    rows = stored(lists.join(able, "v").withColumn("u", F.explode("us")), "able-rows")
-    one, two = (rows.select("u", *(F.col(c).alias(f"{c}{k}") for c in ("v", "component", "n", "c", "us"))) for k in (1, 2))
+        used.append(able)
+    # Two sets of that similarity share one of the first n - ceil(share * n) + 1 shingles of each, the rarest first.
+    said = sets.join(able.select("v", "c"), "v").select("v", "n", "c", F.explode("shingles").alias("s"))
+    many = said.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    by = Window.partitionBy("v")
+    placed = said.join(many, "s").withColumn("place", F.row_number().over(by.orderBy("df", "s")) + F.col("n") - F.count("*").over(by))
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
+    at = doubtful.groupBy("v").agg(F.min("component").alias("component"))
+    rows = stored(placed.where(F.col("place") <= length).select("v", "n", "c", "s").join(at, "v"), "able-rows")
+    mixed_up = rows.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("s")
+    used.append(rows)
+    rows = rows.join(mixed_up, "s")
+    one, two = (rows.select("s", *(F.col(c).alias(f"{c}{k}") for c in ("v", "component", "n", "c"))) for k in (1, 2))
     c = F.least("c1", "c2")
     fits = (F.col("v1") < F.col("v2")) & (F.col("component1") != F.col("component2")) & (F.lit(100) * c >= F.lit(percent) * (F.col("n1") + F.col("n2") - c))
-    once = F.col("u") == F.array_min(F.array_intersect("us1", "us2"))
-    pairs = one.join(two, "u").where(fits & once).select(F.col("v1").alias("u"), F.col("v2").alias("v"))
-    return pairs.join(tried, ["u", "v"], "left_anti")
+    pairs = one.join(two, "s").where(fits).select(F.col("v1").alias("u"), F.col("v2").alias("v")).distinct()
+    found = stored(pairs.join(tried, ["u", "v"], "left_anti"), "more")
+    drop_stored(found.sparkSession, *used)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -179,7 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u <> last").select("key", "u")
     tried = stored(banded.join(shared, "key").select("u", F.col("doc_id").alias("v")).where("u <> v").distinct(), "tried")
     sets = stored(_sets(docs, tried.select(F.col("u").alias("doc_id")).union(tried.select("v")).distinct(), width), "sets")
-    links = _confirmed(tried, sets, signed_reps, percent)
+    links = direct = _confirmed(tried, sets, signed_reps, percent)
     text = F.struct("d1", "d2", "n_shingles")
     shared_ids = stored(signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id"), "shared-ids")
     several = not shared_ids.isEmpty()
@@ -188,12 +201,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         links = links.union(named.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct())
     found = stored(connected_components(links), "components")
 
-    more = stored(_uncompared(sets, tried, found, percent), "more")
+    more = _uncompared(sets, tried, found, percent)
     if not more.isEmpty():
         new = _confirmed(more, sets, signed_reps, percent)
         if not new.isEmpty():
             found = stored(connected_components(links.union(new)), "components")
-    drop_stored(docs.sparkSession, tried, more, signed_reps, sets)
+    drop_stored(docs.sparkSession, tried, more, signed_reps, sets, direct)
     at = reps.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(at, ["d1", "d2", "n_shingles"], "left")
     whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

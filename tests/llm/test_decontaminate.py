@@ -68,3 +68,11 @@ def test_near_phrases(spark):
     df = spark.createDataFrame(docs, DOCS)
     found = op.near_phrases(df, spark.createDataFrame(item, ITEMS), slop=2).collect()
     assert [(r.doc_id, r.item_id) for r in found] == [(1, "1")]
+
+
+def test_one_repetitive_document(spark):
+    docs = [(1, "same " * 40_000), (2, "same other " * 20_000)]
+    items = [(1, "same " * 30), (2, "same " * 15 + "end"), (3, "other same " * 12)]
+    df = op.find_leaks(spark.createDataFrame([(d, t, "c", "c") for d, t in docs], DOCS), spark.createDataFrame([(*x, 0) for x in items], ITEMS), slop=5)
+    assert digest(df) == brute.leaks(docs, items)
+    assert {r.doc_id: r.near for r in df.collect()}[2] == ["1", "2", "3"]
