@@ -6,8 +6,9 @@ documents, from a start in inverse proportion to the rank. The probability of a
 segmentations (forward recursion in log space), that of a text the product over its words and one end.
 
 What is counted are distinct words: documents become bags of words, words get their count and their likelihood once,
-and bags meet words in two ways with one result. The HOT most frequent words, a fixed number, are broadcast; the rest
-is joined by word. A document has one row for a word at most, so no word is a hot key.
+and bags meet words in two ways with one result. The HOT most frequent words, a fixed number of whatever length, are
+broadcast by 96 bits of hashes; the rest is joined by word, so no key is hot. Sums of scores are of whole numbers
+of STEP, which don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from fieldglass.llm.shared import LOWER_BYTES, drop_stored, mapped, stored, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that are broadcast, and the longest of them in bytes: some 6 MB at most.
-HOT, HOT_BYTES = 1 << 16, 64
+#: Words that are broadcast, by hash: some 3 MB.
+HOT = 1 << 16
+#: The unit in which scores (log10) are summed: a long then holds what a text of 1 GB can have.
+STEP = 1e-9
 SPACE = "▁"
 #: Added to the expected count of each piece.
 SMOOTH = 0.1
@@ -169,24 +172,28 @@ def lattice_scores(docs: DataFrame, pieces: dict[str, float] | None = None) -> D
     tokens, kinds = sums.n + ends, sums.v + (ends > 0)
     scores, end_score = trained_scores(words, start, ends)
 
-    def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lattice = Lattice(scores)
-        found = [lattice.likelihood(w) / math.log(10) for w in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=["word", "c", "all", "lat"])
-
-    weighed = stored(mapped(words, weigh, "word string, c long, all long, lat double", rows=4096), "word-scores")
-    drop_stored(spark, words)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(scores)  # once a task
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                found = [lattice.likelihood(w) / math.log(10) for w in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=["word", "c", "all", "lat"])
 
     def base(c: Column) -> Column:
         return F.log10((c + 0.5) / F.lit(tokens + 0.5 * (kinds + 1)))
 
-    hot = stored(weighed.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("all"), "word").limit(HOT), "hot-words").select("word", "c", "lat")
+    weighed = words.mapInArrow(weigh, "word string, c long, all long, lat double").select("word", "all", (F.col("c") > 0).alias("known"), base(F.col("c")).alias("base"), "lat")
+    weighed = stored(weighed, "word-scores")
+    drop_stored(spark, words)
+
+    hot = stored(weighed.orderBy(F.desc("all"), "word").limit(HOT).select(F.xxhash64("word").alias("h1"), F.crc32(F.encode("word", "utf-8")).alias("h2"), "known", "base", "lat"), "hot-words")
+    said = said.withColumns({"h1": F.xxhash64("word"), "h2": F.crc32(F.encode("word", "utf-8"))})
     n = F.col("n")
-    parts = [F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("known"), F.sum(n * base(F.col("c"))).alias("base"), F.sum(n * F.col("lat")).alias("lat")]
-    common = said.join(F.broadcast(hot), "word").groupBy("row").agg(*parts)
-    rare = said.join(F.broadcast(hot.select("word")), "word", "left_anti").join(weighed.select("word", "c", "lat"), "word").groupBy("row").agg(*parts)
+    parts = [F.sum(F.when(F.col("known"), n).otherwise(0)).alias("known"), *(F.sum(F.round(n * F.col(x) / STEP).cast("long")).alias(x) for x in ("base", "lat"))]
+    common = said.join(F.broadcast(hot), ["h1", "h2"]).groupBy("row").agg(*parts)
+    rare = said.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(weighed.select("word", "known", "base", "lat"), "word").groupBy("row").agg(*parts)
     sums = common.union(rare).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("known", "base", "lat")))
-    zero = F.lit(0.0)
     return (
         kept.select("row", "doc_id", "held_out", "n_words")
         .join(sums, "row", "left")
@@ -196,8 +203,8 @@ def lattice_scores(docs: DataFrame, pieces: dict[str, float] | None = None) -> D
             (F.col("n_words") + 1).alias("n_tokens"),
             (F.coalesce("known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
             F.lit(tokens).cast("long").alias("train_tokens"),
-            (F.coalesce("base", zero) + base(F.lit(ends))).alias("base_score"),
-            (F.coalesce("lat", zero) + end_score / math.log(10)).alias("score"),
+            (F.coalesce("base", F.lit(0)) * STEP + base(F.lit(ends))).alias("base_score"),
+            (F.coalesce("lat", F.lit(0)) * STEP + end_score / math.log(10)).alias("score"),
         )
     )
 

@@ -1,4 +1,5 @@
 import math
+import textwrap
 import zlib
 from collections import Counter
 
@@ -48,6 +49,39 @@ def test_base(spark, monkeypatch, case):
         assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9) and r.score < 0
 
 
+def segmentations(s):
+    if not s:
+        return [()]
+    out = [(s[:k], *x) for k in range(1, len(s) + 1) if s[:k] in SCORES for x in segmentations(s[k:])]
+    if s[0] not in SCORES:
+        out += [(*(f"<0x{b:02X}>" for b in s[0].encode()), *x) for x in segmentations(s[1:])]
+    return out
+
+
+def test_score(spark):
+    """The model and the scores, by listing all segmentations of each word."""
+    docs = [(1, "ab abba a", False), (2, "bab ab", False), (3, "abab a b", True), (4, None, True), (5, "éa ab AB", False), (6, "", False)]
+
+    def weight(pieces, scores):
+        return math.exp(sum(scores.get(p, -30.0) for p in pieces))
+
+    counts, ends = Counter(), sum(not h for _, _, h in docs)
+    for _, t, h in docs:
+        for w in brute.words((t or "").translate(brute.LOWER)) if not h else []:
+            ways = segmentations("▁" + w)
+            total = sum(weight(x, SCORES) for x in ways)
+            for x in ways:
+                for p in x:
+                    counts[p] += weight(x, SCORES) / total
+    total = sum(counts.values()) + ends + lattice.SMOOTH * (len(SCORES) + 1)
+    model = {p: math.log((counts[p] + lattice.SMOOTH) / total) for p in SCORES}
+    end = math.log10((ends + lattice.SMOOTH) / total)
+    found = {r.doc_id: r.score for r in lattice.lattice_scores(spark.createDataFrame([(d, t, h, "s", 0.0) for d, t, h in docs], DOCS), SCORES).collect()}
+    for d, t, _ in docs:
+        want = end + sum(math.log10(sum(weight(x, model) for x in segmentations("▁" + w))) for w in brute.words((t or "").translate(brute.LOWER)))
+        assert found[d] == pytest.approx(want, rel=1e-6), d
+
+
 def test_scores_tell_text_from_noise(spark):
     """Held-out documents are likelier than the same letters in another order, and training on them helps."""
     docs = [(d, t) for d, t in documents("sf0.001") if len(t) > 300][:80]
@@ -115,31 +149,82 @@ def test_mix_documents(spark):
     assert all(abs(taken[s] - t) <= 0.02 * t for s, t in target.items())
 
 
-def dice(a, b):
-    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
-
-
-def grams(text):
+def normal(text):
     import regex
 
-    w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower().replace("licence", "license"))
-    return {f"{a} {b}" for a, b in zip(w, [*w[1:], ""][: max(len(w) - 1, 1)], strict=False)}
+    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower().replace("licence", "license"))
+
+
+def best_units(text, templates, least=0.9):
+    """{(license, template): (-dice, start, words)} by trying the whole text, every paragraph, every line and every run."""
+    w = normal(text)
+    spans, line_at, part_at = {(0, len(w))}, 0, 0
+    for line in (text or "").split("\n"):
+        n = len(normal(line))
+        if not n:
+            spans.add((part_at, line_at - part_at))
+            part_at = line_at
+        spans.add((line_at, n))
+        line_at += n
+    spans.add((part_at, line_at - part_at))
+    pairs = list(zip(w, w[1:], strict=False))
+    out = {}
+    for name, texts in templates.items():
+        for i, t in enumerate(texts):
+            words = normal(t)
+            own = set(zip(words, words[1:], strict=False))
+            inside = [0]
+            for p in pairs:
+                inside.append(inside[-1] + (p in own))
+            for start, n in sorted(spans | {(s, len(words)) for s in range(len(w) - len(words) + 1)}):
+                if n < 2 or 2 * (inside[start + n - 1] - inside[start]) < len(own):
+                    continue  # fewer than half of the template's pairs: far below 0.9
+                found = set(pairs[start : start + n - 1])
+                d = 2 * len(found & own) / (len(found) + len(own))
+                if d >= least:
+                    out[name, i] = min(out.get((name, i), (0, 0, 0)), (-d, start, n))
+    return out
 
 
 LICENSE_TEXTS = [None, "", "...", "word", "Some text.\nReleased under the MIT license\nmore", licenses.TEMPLATES["ISC"][0].replace(",", " ,\n"), "This work is licenced under the GNU General Public Licence, version 3!", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-NC 4.0", "noise " * 30_000, "Licensed under\nthe Apache License,\nVersion 2.0."]
 
 
+MIT = licenses.TEMPLATES["MIT"]
+BSD = licenses.TEMPLATES["BSD-3-Clause"][2]
+LICENSE_TEXTS += [
+    "A program of mine.\n" + "\n".join(textwrap.wrap(MIT[1], 72)) + "\nand more text after it\n" * 9,
+    "Copyright (c) 2020 X. Released under the MIT License. All other rights stay with X.",
+    "intro\n\n" + "\n".join(" * " + x for x in textwrap.wrap(BSD, 60)) + "\n\nint main() { return 0; }",
+    " ".join(["before"] * 300 + MIT[3].replace("person", "human").split() + ["after"] * 300),
+    "Permission is hereby granted, free of charge\n" * 40,
+    "license " * 5_000,
+    "\n\n\nReleased under\n\nthe MIT License.\n\n",
+    " ".join(MIT[1].split()[:30] + ["cut"] * 40 + MIT[1].split()[30:]),
+]
+
+
 def test_licenses(spark):
     texts = dict(enumerate(LICENSE_TEXTS)) | {100 + d: t for d, t in documents("sf0.001")}
-    df = spark.createDataFrame([(d, t, False, "s", 0.0) for d, t in texts.items()] + [(3, "word", False, "s", 0.0)], DOCS)
-    table = [(n, i, grams(t)) for n, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame([(d, t, False, "s", 0.0) for d, t in texts.items()] + [(3, "word", False, "s", 0.0), (7, texts[7], False, "s", 0.0)], DOCS)
     found = licenses.scan_licenses(df).collect()
-    assert len(found) == len(texts) + 1
+    assert len(found) == len(texts) + 2
     for r in found:
-        t = texts[r.doc_id] or ""
-        lines = t.split("\n")
-        units = [(i + 1, x) for i, x in enumerate(lines)] + ([(0, t)] if len(lines) > 1 else [])
-        want = {(n, i, line) for line, u in units if (g := grams(u)) for n, i, b in table if dice(g, b) >= licenses.LEAST}
-        assert {(m.license, m.template, m.line) for m in r.matches} == want
-        assert r.license == (r.matches[0].license if r.matches else None)
+        want = best_units(texts[r.doc_id], licenses.TEMPLATES)
+        assert {(m.license, m.template): (pytest.approx(-m.dice), m.start, m.words) for m in r.matches} == want, r.doc_id
+        assert len(r.matches) == len(want) and r.license == (r.matches[0].license if r.matches else None)
+    by_id = {r.doc_id: r.license for r in found}
+    assert [by_id[len(LICENSE_TEXTS) - k] for k in (8, 7, 6, 5, 2)] == ["MIT", "MIT", "BSD-3-Clause", "MIT", "MIT"]
     assert sum(r.license is not None for r in found) > 5
+
+
+def test_license_query(spark):
+    texts = dict(documents("sf0.001"))
+    found = licenses.op10_licenses(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        want = sorted((*v[:1], *k, *v[1:]) for k, v in best_units(texts[r.doc_id], licenses.TEMPLATES).items())
+        assert r.n_matches == len(want)
+        first = want[0] if want else (None,) * 5
+        assert (r.license, r.start, r.words) == (first[1], first[3], first[4])
+        assert r.dice == (round(-first[0], 6) if want else None)
+
