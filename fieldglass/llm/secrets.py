@@ -24,7 +24,7 @@ from fieldglass.llm.shared import mapped
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # greedy runs: the same spans as all runs of which the short ones are dropped
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.A)
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----", re.A)
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+(?:\.[A-Za-z0-9_-]*){2,}", re.A)  # no header is shorter: {"alg":""}
 #: Where a header can begin: at the start of a part or after - or _, with what { or blanks or a byte order mark are in base64.
 HEADER = re.compile(r"(?<![A-Za-z0-9])[eICD7]", re.A)
@@ -88,6 +88,46 @@ def is_key(data: bytes | None) -> bool:
     return (len(tags) >= 5 and set(tags) == {0x02}) or tags[0] == 0x04  # RSA or DSA numbers; SEC 1 octets
 
 
+def is_locked_key(data: bytes | None) -> bool:
+    """DER of an encrypted key: a sequence of an algorithm, which begins with its identifier, and octets."""
+    whole = der_items(data, 0, len(data)) if data else None
+    if not whole or len(whole) != 1 or whole[0][0] != 0x30:
+        return False
+    parts = der_items(data, whole[0][1], whole[0][2])
+    if not parts or [p[0] for p in parts] != [0x30, 0x04]:
+        return False
+    inner = der_items(data, parts[0][1], parts[0][2])
+    return bool(inner) and inner[0][0] == 0x06
+
+
+def is_openssh_key(data: bytes | None) -> bool:
+    """The mark of the format, then cipher, key derivation and its options, the number of keys, and as many public keys and
+    one private part, each with its length before it and nothing after."""
+    if not data or not data.startswith(b"openssh-key-v1\0"):
+        return False
+    at, left, keys = 15, 3, None
+    while left:
+        if at + 4 > len(data):
+            return False
+        n = int.from_bytes(data[at : at + 4], "big")
+        at, left = at + 4 + n, left - 1
+        if at > len(data):
+            return False
+        if not left and keys is None:
+            keys = int.from_bytes(data[at : at + 4], "big")
+            at, left = at + 4, keys + 1
+            if not 0 < keys < 100:
+                return False
+    return at == len(data)
+
+
+def is_armoured_key(label: str, headers: str, body: str) -> bool:
+    data = unpacked("".join(body.split()))
+    if "4,ENCRYPTED" in headers and "DEK-Info:" in headers:  # then the key is whole blocks of a cipher
+        return bool(data) and len(data) >= 24 and len(data) % 8 == 0
+    return is_openssh_key(data) if "OPENSSH" in label else is_locked_key(data) if "ENCRYPTED" in label else is_key(data)
+
+
 def header_of(part: str) -> dict | None:
     """A signed or encrypted token's header: a JSON object that names its algorithm."""
     try:
@@ -173,7 +213,7 @@ def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
     if long >= 24:
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
-        found += [("pem", *m.span()) for m in PEM.finditer(text) if "ENCRYPTED" in m[1] or "OPENSSH" in m[1] or is_key(unpacked("".join(m[2].split())))]
+        found += [("pem", *m.span()) for m in PEM.finditer(text) if is_armoured_key(*m.groups())]
     if long >= 18:
         found += [("signed", *span) for span in signed_spans(text)]
     found += [("der", *span) for span in key_spans(text, [(s, e) for k, s, e in found if k == "pem"])]
