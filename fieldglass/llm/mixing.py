@@ -25,8 +25,9 @@ from fieldglass.llm.shared import drop_stored, stored
 
 MOST = 3.0
 BUCKET = 5_000
-#: Relative error of a source's tokens at which the iterations end, and their number at most.
-TOLERANCE, ROUNDS = 1e-6, 40
+#: Relative error of a source's tokens at which the iterations end, and their number at most: a bracket halved so often
+#: is as narrow as doubles allow.
+TOLERANCE, ROUNDS = 1e-6, 120
 
 
 def n_words(text: Column) -> Column:
@@ -34,25 +35,47 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def numbered(table: DataFrame, by: Column) -> DataFrame:
+    """table with `number`, its place from 0 in the order of `by`, nulls last: sorted by ranges, never in one task.
+
+    A count for each range comes to the driver, as many as there are shuffle partitions.
+    """
+    spark = table.sparkSession
+    ranged = table.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by.asc_nulls_last()).sortWithinPartitions(by.asc_nulls_last())
+    placed = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("at", 33)
+    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for k in sorted(counts):
+        before[k], total = total, total + counts[k]
+    if not before:
+        return placed.drop("at").withColumn("number", F.lit(0).cast("long"))
+    first = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)), part)
+    return placed.withColumn("number", first + F.col("at") - F.shiftleft(part, 33)).drop("at")
+
+
 def cyclic_targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     """(source, source_size, docs, scale, target): the sources by code point, null last, weigh 1, 2, 3 and again; together they
-    keep all tokens; none gets more than `most` times its own, and what is above goes to the others by weight.
+    keep all tokens; none gets more than `most` times its own, and what is above goes to the others by weight. Written.
 
-    sizes: source, size, n (documents). All windows here are over one row a source.
+    sizes: source, size, n (documents). Sources may be as many as hosts: they are numbered by ranges, and the level at
+    which each gets its weight's share is found from below, two sums over all sources at a time.
     """
     by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").alias("docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = by_source.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1)
-    # Filling up: the sources that stop are those with the least room for their weight.
-    rank = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(0, Window.unboundedFollowing)
-    whole = F.sum("source_size").over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    # What each row would get for its weight if all rows before it stopped: highest where that is true.
-    level = (whole - F.coalesce(most * F.sum("source_size").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    every = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = F.least(most * F.col("source_size"), F.col("level") * F.col("weight")).cast("double")
-    stops = weighed.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return stops.select("source", "source_size", "docs", (F.col("source_size") / F.col("docs")).alias("scale"), share.alias("target"))
+    placed = numbered(by_source, F.col("source"))
+    weighed = stored(placed.withColumn("weight", F.col("number") % 3 + 1), "sources")
+    drop_stored(sizes.sparkSession, placed)
+    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, last = 0.0, None
+    while True:
+        # A source stops once its weight's share of the level is above its limit. Each level lets more of them stop.
+        stops = F.col("weight") * level > most * F.col("source_size")
+        found = weighed.agg(F.sum(F.when(stops, F.col("source_size")).otherwise(0)), F.sum(F.when(stops, 0).otherwise(F.col("weight"))), F.count_if(stops)).first()
+        if found[2] == last or not found[1]:
+            break
+        last, level = found[2], (total - most * found[0]) / found[1]
+    share = F.when(F.col("weight") * level > most * F.col("source_size"), most * F.col("source_size")).otherwise(F.col("weight") * level).cast("double")
+    return weighed.select("source", "source_size", "docs", (F.col("source_size") / F.col("docs")).alias("scale"), share.alias("target"))
 
 
 def exact_sum(value: Column) -> Column:
@@ -84,6 +107,8 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: float = MOST) -> Dat
         drop_stored(spark, was)
         if state.where("NOT done").isEmpty():
             break
+    else:
+        raise ArithmeticError("the multipliers of some sources did not converge")
     return state.select("source", "source_size", "docs", "scale", "target", "m")
 
 
@@ -124,7 +149,9 @@ def mix(docs: DataFrame, most: float = MOST, keep: tuple[str, ...] = ()) -> Data
     """
     sized = stored(docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "source", n_words(F.col("text")).alias("size")), "sizes")
     sizes = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
-    solved = multipliers(sizes, cyclic_targets(sizes, most), most)
+    targets = cyclic_targets(sizes, most)
+    solved = multipliers(sizes, targets, most)
+    drop_stored(docs.sparkSession, sizes, targets)
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.exp(F.least(F.col("m") * F.col("size") / F.col("scale"), F.lit(math.log(most)))), F.lit(most)))
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key")), F.ceil(F.col("docs") / BUCKET)).cast("int")
     rows = sized.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
@@ -142,6 +169,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is a document of its own, whether or not it has a doc_id or shares it: rows are numbered and written, so
     that both readings see the same numbers.
     """
-    numbered = stored(docs.drop("copy").withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    copies = mix(numbered, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    return numbered.join(copies, "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies")
+    rows = stored(docs.drop("copy").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    copies = mix(rows, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    return rows.join(copies, "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies")
