@@ -7,13 +7,13 @@ cost, and a document meets no rule after the first that rejects it. The order ch
 
 from __future__ import annotations
 
-import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ import fieldglass.llm.shared  # noqa: F401  its functions travel to executors by
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Documents that the order of the rules is fitted on, at most.
 SAMPLE_ROWS = 2_000
 
