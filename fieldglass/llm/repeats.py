@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.names import CHUNK, Namer, chunks, in_pieces, mixed, paired, word_names
+from fieldglass.llm.names import CHUNK, chunks, in_pieces, mixed, paired, word_names
 from fieldglass.llm.shared import drop_stored, mapped, stored, text_bytes
 
 #: Rounds of naming runs and then pairs.
@@ -196,18 +196,18 @@ class Parsed:
         return [spans_named(at, np.full(len(at), self.width), d) for d in self.doubled]
 
 
-def parsed(texts: list[bytes], width: int, namer: Namer) -> Iterator[tuple[int, int, Parsed]]:
+def parsed(texts: list[bytes], width: int) -> Iterator[tuple[int, int, Parsed]]:
     """(number of the first text, words of it that come before, Parsed) of runs of texts, or of a part of a long one.
 
     Parts of a text overlap by all but one word of a window, so each window is in one of them and memory is bounded.
     """
     for start, end in in_pieces(texts):
         if end - start > 1 or len(texts[start]) <= 2 * CHUNK:
-            yield start, 0, Parsed(*word_names(texts[start:end], namer), width)
+            yield start, 0, Parsed(*word_names(texts[start:end]), width)
             continue
         skip, tail = 0, np.empty((2, 0), np.uint64)
         for chunk in chunks(texts[start]):
-            lanes = np.concatenate([tail, word_names([chunk], namer)[0]], axis=1)
+            lanes = np.concatenate([tail, word_names([chunk])[0]], axis=1)
             yield start, skip, Parsed(lanes, np.array([0, lanes.shape[1]]), width)
             tail = lanes[:, max(0, lanes.shape[1] - width + 1) :]
             skip += lanes.shape[1] - tail.shape[1]
@@ -219,12 +219,10 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
 
 def block_rows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, key, b1, b2) of all blocks, about once a document."""
-    namer = Namer()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, keys, one, two = [], [], [], []
         docs = np.array(batch.column(0).to_pylist(), np.int64)
-        for at, _, p in parsed(text_bytes(batch.column(1)), width, namer):
+        for at, _, p in parsed(text_bytes(batch.column(1)), width):
             b1, b2 = p.blocks()
             text = np.repeat(np.arange(len(p.bounds) - 1), np.diff(p.of_text))
             order = np.lexsort((b1, text))
@@ -269,15 +267,13 @@ CUT = "doc_id long, n_words long, n_removed long, kept string"
 def settle(docs: DataFrame, width: int, digest: bool) -> DataFrame:
     """CUT by settled blocks alone, and for texts with open blocks (then kept is null) what they still need: text,
     settled, and the names w1, w2 of their open windows. docs: doc_id, text, settled, open (arrays of b1, or null)."""
-    namer = Namer()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, settled, opened = text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
         some = [i for i in range(len(texts)) if settled[i] or opened[i]]
         spans: list[list] = [[] for _ in texts]
         windows: list[list] = [[] for _ in texts]
         n = [-1] * len(texts)
-        for at, skip, p in parsed([texts[i] for i in some], width, namer):
+        for at, skip, p in parsed([texts[i] for i in some], width):
             b1 = p.blocks()[0].view(np.int64)
             for k in range(len(p.bounds) - 1):
                 i, begin = some[at + k], p.bounds[k]
@@ -311,13 +307,11 @@ def settle(docs: DataFrame, width: int, digest: bool) -> DataFrame:
 
 def finish(docs: DataFrame, width: int, digest: bool) -> DataFrame:
     """CUT of the texts that had open blocks; docs: doc_id, text, settled, single (array of w1, or null)."""
-    namer = Namer()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, settled, single = text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
         spans: list[list] = [[] for _ in texts]
         n = [0] * len(texts)
-        for at, skip, p in parsed(texts, width, namer):
+        for at, skip, p in parsed(texts, width):
             b1 = p.blocks()[0].view(np.int64)
             for k in range(len(p.bounds) - 1):
                 i, begin, end = at + k, int(p.bounds[k]), int(p.bounds[k + 1])

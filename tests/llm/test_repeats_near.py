@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from fieldglass.llm import near, repeats
-from fieldglass.llm.names import Namer, word_names
+from fieldglass.llm.names import word_names
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, kept string"
@@ -121,7 +121,7 @@ LONG_WORDS = [(HALF + "q" * (1 << 14), "q" * (1 << 14) + HALF), *((thue_morse(n)
 
 @pytest.mark.parametrize("one, two", LONG_WORDS, ids=["halves", "1k", "2k", "4k"])
 def test_long_words_are_told_apart(spark, one, two):
-    names, _ = word_names([f"{one} {two}".encode()], Namer())
+    names, _ = word_names([f"{one} {two}".encode()])
     assert (names[:, 0] != names[:, 1]).all()
     rest = " ".join(f"w{i}" for i in range(60))
     docs = [(1, f"{one} {rest[:100]}"), (2, f"{two} {rest[:100]}"), (3, " ".join([one] * 30)), (4, " ".join([two] * 30)), (5, f"{rest[:150]} {one} {rest[150:]}"), (6, f"{rest[:150]} {two} {rest[150:]}")]
@@ -146,7 +146,7 @@ def test_equal_windows_have_equal_anchors(seed):
     base = [r.choice("ab" if seed % 2 else "abcdefghijklmnop") for _ in range(300)]
     texts = [" ".join([r.choice("abq") for _ in range(r.randint(0, 90))] + base[(i := r.randrange(200)) : i + 100] + [r.choice("ab")] * r.randint(0, 80)) for _ in range(12)]
     found = {}
-    for _, _, p in repeats.parsed([t.encode() for t in texts], 50, Namer()):
+    for _, _, p in repeats.parsed([t.encode() for t in texts], 50):
         for first, count, key, start in zip(p.first, p.count, p.keys(), p.anchor[2], strict=True):
             for at in range(first, first + count):
                 name = int(p.window_names(np.array([at]))[0][0])
