@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm.components import connected_components
-from fieldglass.llm.names import CHUNK, Namer, chunks, in_pieces, mixed, paired, word_names
+from fieldglass.llm.names import CHUNK, chunks, in_pieces, mixed, paired, word_names
 from fieldglass.llm.shared import LOWER_BYTES, drop_stored, mapped, stored, text_bytes
 
 HASHES, BAND = 128, 4
@@ -37,11 +37,11 @@ def _grams(names: np.ndarray, width: int) -> np.ndarray:
     return grams
 
 
-def _long_set(text: bytes, width: int, namer: Namer) -> np.ndarray:
+def _long_set(text: bytes, width: int) -> np.ndarray:
     """The shingles of one text, made from a part of it at a time; parts overlap by all but one word of a shingle."""
     tail, found = np.empty(0, np.uint64), []
     for chunk in chunks(text):
-        names = np.concatenate([tail, word_names([chunk.translate(LOWER_BYTES)], namer)[0][0]])
+        names = np.concatenate([tail, word_names([chunk.translate(LOWER_BYTES)])[0][0]])
         found.append(np.unique(_grams(names, width)))
         tail = names[max(0, len(names) - width + 1) :]
     whole = np.unique(np.concatenate(found))
@@ -58,15 +58,15 @@ def _whole(names: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: list[bytes], width: int, namer: Namer) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each text, as 64-bit names made of its words' digests. Fewer words than width, but
     not none: the whole sequence. Sets are compared a pair of documents at a time, for which 64 bits suffice."""
     out = []
     for start, end in in_pieces(texts):
         if end - start == 1 and len(texts[start]) > 2 * CHUNK:
-            out.append(_long_set(texts[start], width, namer))
+            out.append(_long_set(texts[start], width))
             continue
-        lanes, bounds = word_names([t.translate(LOWER_BYTES) for t in texts[start:end]], namer)
+        lanes, bounds = word_names([t.translate(LOWER_BYTES) for t in texts[start:end]])
         names = lanes[0]
         grams = _grams(names, width)
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -86,10 +86,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (digest of the set), signature (array of HASHES ints, null for an empty set)."""
-    namer = Namer()
-
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(text_bytes(batch.column(1)), width, namer)
+        sets = shingle_sets(text_bytes(batch.column(1)), width)
         sums = [(int(mixed(s).sum(dtype=np.uint64)), int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) for s in sets]
         made = np.concatenate([minima(s) for s in sets if len(s)] or [np.empty(0, np.int32)])
         full = np.array([len(s) > 0 for s in sets], bool)
@@ -103,10 +101,8 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles) of the documents whose ids are given."""
-    namer = Namer()
-
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(text_bytes(batch.column(1)), width, namer)
+        sets = shingle_sets(text_bytes(batch.column(1)), width)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         values = np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "shingles"])
@@ -132,13 +128,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, signed: DataFrame, percent: in
 
 
 def _uncompared(sets: DataFrame, tried: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components, of classes that share a key's least one with another component, that can
-    have the similarity asked for. Written.
+    """Pairs (u, v) of different components that share a key's least class and can have the similarity asked for. Written.
 
     Shingles that no other class in question has can't be in an intersection, so with c the lesser count of the others
     no pair exceeds c / (n1 + n2 - c). Classes that this rules out for every partner go, twice, as the rest then has
     fewer partners. Documents with a passage in common, and copies too far from each other, so make no pairs at all.
-    What is left meets by its rarest shingles, never by a key that thousands of classes share.
     """
     groups = tried.select("u", "v").union(tried.select("u", F.col("u").alias("v")).distinct())
     placed = groups.join(found.withColumnRenamed("vertex", "v"), "v", "left").select("u", "v", F.coalesce("component", "v").alias("component"))
@@ -152,21 +146,14 @@ def _uncompared(sets: DataFrame, tried: DataFrame, found: DataFrame, percent: in
         counted = said.join(both, "s").groupBy("v", "n").agg(F.count("*").alias("c"))
         able = stored(counted.where(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n")), "able")
         used.append(able)
-    # Two sets of that similarity share one of the first n - ceil(share * n) + 1 shingles of each, the rarest first.
-    said = sets.join(able.select("v", "c"), "v").select("v", "n", "c", F.explode("shingles").alias("s"))
-    many = said.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    by = Window.partitionBy("v")
-    placed = said.join(many, "s").withColumn("place", F.row_number().over(by.orderBy("df", "s")) + F.col("n") - F.count("*").over(by))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
-    at = doubtful.groupBy("v").agg(F.min("component").alias("component"))
-    rows = stored(placed.where(F.col("place") <= length).select("v", "n", "c", "s").join(at, "v"), "able-rows")
-    mixed_up = rows.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("s")
+    lists = doubtful.groupBy("v").agg(F.min("component").alias("component"), F.collect_set("u").alias("us"))  # a list has a class for each band at most
+    rows = stored(lists.join(able, "v").withColumn("u", F.explode("us")), "able-rows")
     used.append(rows)
-    rows = rows.join(mixed_up, "s")
-    one, two = (rows.select("s", *(F.col(c).alias(f"{c}{k}") for c in ("v", "component", "n", "c"))) for k in (1, 2))
+    one, two = (rows.select("u", *(F.col(c).alias(f"{c}{k}") for c in ("v", "component", "n", "c", "us"))) for k in (1, 2))
     c = F.least("c1", "c2")
     fits = (F.col("v1") < F.col("v2")) & (F.col("component1") != F.col("component2")) & (F.lit(100) * c >= F.lit(percent) * (F.col("n1") + F.col("n2") - c))
-    pairs = one.join(two, "s").where(fits).select(F.col("v1").alias("u"), F.col("v2").alias("v")).distinct()
+    once = F.col("u") == F.array_min(F.array_intersect("us1", "us2"))
+    pairs = one.join(two, "u").where(fits & once).select(F.col("v1").alias("u"), F.col("v2").alias("v"))
     found = stored(pairs.join(tried, ["u", "v"], "left_anti"), "more")
     drop_stored(found.sparkSession, *used)
     return found
