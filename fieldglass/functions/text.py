@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a headline's topic.
@@ -23,11 +23,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(normal_form(text), " "), lambda w: w != "")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as column `name`, computed once a row: the generator keeps Catalyst from writing the expression out
+    wherever the column is used, in the worst case for each element within a lambda."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def shingles(words: Column, size: int) -> Column:
-    """Distinct runs of `size` words; none if there are fewer."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    runs = F.transform(at, lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of `size` words; none if there are fewer. words should be a column of a table, not an expression (see once)."""
+    n = F.greatest(F.size(words) - (size - 1), F.lit(0))
+    runs = F.slice(words, 1, n)
+    for k in range(1, size):
+        runs = F.zip_with(runs, F.slice(words, k + 1, n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -63,14 +71,40 @@ def is_keyword_stuffing(line: Column) -> Column:
     return (F.size(parts) >= 5) & (F.size(short) / F.size(parts) > 0.8)
 
 
-def cleaned_lines(text: Column, cut: str, drop: str) -> Column:
-    """Lines up to the first that matches `cut`, without those that match `drop`, noise and consecutive repeats."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
-    first = F.array_position(F.transform(lines, lambda x: x.rlike(cut)), True)
-    head = F.when(first > 0, F.slice(lines, 1, (first - 1).cast("int"))).otherwise(lines)
-    good = F.filter(head, lambda x: ~x.rlike(drop) & ~is_hashtag_noise(x) & ~is_keyword_stuffing(x))
-    fresh = F.filter(good, lambda x: x != "")
-    return F.aggregate(fresh, F.array().cast("array<string>"), lambda acc, x: F.when(F.get(acc, F.size(acc) - 1) == x, acc).otherwise(F.array_append(acc, x)))
+# Lines that begin a channel's own text, of which nothing after counts, and lines that are always promotion.
+CUT_MARKERS = (
+    "(?i)^\\s*for (the )?latest (news|updates)",
+    "(?i)^\\s*subscribe\\b",
+    "(?i)^\\s*watch .{0,40}\\blive\\b\\s*[-–:]",
+    "(?i)^\\s*download .{0,30}\\bapp\\b",
+    "(?i)^\\s*follow us\\b",
+    "(?i)^\\s*like us\\b",
+    "(?i)^\\s*visit us\\b",
+    "(?i)^\\s*connect with us\\b",
+    "(?i)^\\s*stay tuned\\b",
+    "(?i)^\\s*about .{0,40}:\\s*$",
+    "(?i)^\\s*-{3,}\\*+",
+)
+DROP_LINES = (
+    "(?i)https?://",
+    "(?i)^\\s*[-=*_~►▶👉•]+\\s*$",
+    "(?i)\\b(subscribe|whatsapp channel|telegram|instagram|facebook|twitter)\\b",
+    "(?i)^\\s*©",
+    "^\\s*[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]",
+    "(?i)\\b(download the app|tap away|press the bell|like \\| comment)\\b",
+)
+
+
+def cleaned_lines(docs: DataFrame, text: str = "text", cut: tuple[str, ...] = CUT_MARKERS, drop: tuple[str, ...] = DROP_LINES) -> DataFrame:
+    """docs with `lines`: those up to the first that matches one of `cut`, without those that match one of `drop`, noise,
+    empty ones and consecutive repeats. Null has none."""
+    lines = once(docs, "all_lines", F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), F.trim))
+    marks = F.array_position(F.transform("all_lines", lambda x: x.rlike("|".join(f"(?:{c})" for c in cut))), True)
+    head = F.when(marks > 0, F.slice("all_lines", 1, (marks - 1).cast("int"))).otherwise(F.col("all_lines"))
+    good = F.filter(head, lambda x: (x != "") & ~x.rlike("|".join(f"(?:{d})" for d in drop)) & ~is_hashtag_noise(x) & ~is_keyword_stuffing(x))
+    kept = once(lines, "good", good)
+    fresh = F.filter("good", lambda x, i: (i == 0) | (F.get("good", i - 1) != x))
+    return kept.withColumn("lines", fresh).drop("all_lines", "good")
 
 
 def html_text(html: Column) -> Column:
@@ -78,7 +112,7 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     text = F.regexp_replace(text, "(?i)<br\\s*/?>|</(p|div|li|h[1-6]|tr|ul|ol|table|section|article)>", "\n")
     text = F.regexp_replace(text, "<[^>]+>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(plain))
     text = F.regexp_replace(text, "[ \\t\\r]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, " ?\n ?", "\n"), "\n{2,}", "\n"))

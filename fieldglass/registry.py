@@ -115,8 +115,8 @@ def first_image(pages: DataFrame) -> DataFrame:
 
 
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    words = T.tokens(F.col("text"))
-    return docs.select("doc_id", *(F.size(T.shingles(words, k)).cast("long").alias(f"n{k}") for k in (1, 2)))
+    words = T.once(docs.select("doc_id", "text"), "words", T.tokens(F.col("text")))
+    return words.select("doc_id", *(F.size(T.shingles(F.col("words"), k)).cast("long").alias(f"n{k}") for k in (1, 2)))
 
 
 def headline(docs: DataFrame) -> DataFrame:
@@ -124,9 +124,10 @@ def headline(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
-    lines = T.cleaned_lines(F.col("text"), "(?i)subscribe now|follow us", "(?i)licensed under|released under")
-    text = F.array_join(lines, "\n")
-    return docs.select("doc_id", F.size(lines).cast("long").alias("lines"), F.sha2(text, 256).alias("clean_hash"))
+    """Lines of channels, with the calls to action that they end in, cleaned; every third document has none of these."""
+    tail = F.concat(F.lit("\nhttps://a.example/b\n  Follow US on x\nafter it"))
+    made = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 > 0, tail).otherwise(F.lit("\n#one#two\nlast\nlast"))).alias("text"))
+    return T.cleaned_lines(made).select("doc_id", F.size("lines").cast("long").alias("lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("clean_hash"))
 
 
 def language(docs: DataFrame) -> DataFrame:
