@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries of registry.py."""
 
-from fieldglass.plans import delivery, enrichment, rows, texts
+from fieldglass.functions.text import CUT_MARKERS, DROP_LINES
+from fieldglass.plans import delivery, enrichment, ledger, payloads, rows, texts
 from fieldglass.plans.mentions import DOCUMENTS_SQL, MENTIONS_SQL
 
 _M, _D = MENTIONS_SQL, DOCUMENTS_SQL
@@ -93,7 +94,7 @@ SQL: dict[str, str] = {
     "jn09_evidence_star": "SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS roles, count(*) AS turns FROM conversations GROUP BY 1",
     "jn15_dictionary_match": r"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)(?:^|[^a-z])(?:license|licensed)(?:[^a-z]|$)') AND NOT regexp_matches(text, '(?i)(?:^|[^a-z])(?:apache)(?:[^a-z]|$)') THEN 'license' END, CASE WHEN regexp_matches(text, '(?i)(?:^|[^a-z])(?:token|password)(?:[^a-z]|$)') THEN 'secret' END, CASE WHEN regexp_matches(text, '(?i)(?:^|[^a-z])(?:the|der|les)(?:[^a-z]|$)') THEN 'the' END], lambda x: x IS NOT NULL), ',') AS terms FROM documents",
     "jn17_anti_new_rows": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
-    "jn21_trace": _M + " SELECT row_number() OVER (ORDER BY seen_at, mention_id) AS step, mention_id, data_origin, platform FROM mentions WHERE author_id = 7",
+    "jn21_trace": _M + " SELECT author_id, row_number() OVER (PARTITION BY author_id ORDER BY seen_at, mention_id) AS step, mention_id, data_origin, platform FROM mentions",
     "jsn02_contract": "WITH e AS (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM events) SELECT CASE WHEN coalesce(k BETWEEN 0 AND 49 AND event_type IN ('click', 'view', 'purchase'), false) THEN 'accepted' ELSE 'failed' END AS branch, count(*) AS n, CAST(sum(coalesce(k, 0)) AS BIGINT) AS total FROM e GROUP BY 1",
     "scr01_relevance": f"WITH s AS (SELECT doc_id, round(least((CASE WHEN {_IN_TITLE} > 0 THEN 0.6 ELSE 0 END)::DOUBLE + (CASE WHEN {_IN_TITLE} > 1 THEN 0.2 ELSE 0 END)::DOUBLE + least(0.3::DOUBLE, 0.15::DOUBLE * {_IN_BODY}), 1::DOUBLE), 6) AS topical, round(greatest(0::DOUBLE, least(1::DOUBLE, (CASE WHEN lang IN ('en', 'de') THEN 0.6 ELSE 0 END)::DOUBLE - (CASE WHEN {_hit('text', 'les')} = 1 THEN 0.15 ELSE 0 END)::DOUBLE)), 6) AS regional FROM documents) SELECT *, topical >= 0.5 AND regional >= 0.4 AS accepted FROM s",
     "scr20_lens": _M + _BALANCE + " SELECT * FROM (SELECT data_origin, district, 'all' AS lens, mentions AS total FROM c UNION ALL SELECT data_origin, district, 'concern', unfavourable FROM c UNION ALL SELECT data_origin, district, 'positive', favourable FROM c) WHERE total > 0",
@@ -129,3 +130,25 @@ SELECT data_origin, CASE WHEN forward THEN p ELSE q END AS a, CASE WHEN forward
 } | rows.sql(_FINDINGS, _EXACT) | enrichment.sql(_METRICS)
 SQL |= delivery.sql(SQL["scr14_finding_texts"], SQL["src13_transcripts"])
 SQL |= texts.SQL
+SQL |= payloads.SQL
+SQL |= ledger.sql(_FINDINGS, _EXACT)
+SQL |= {
+    "str02_dedupe_stream": "SELECT DISTINCT event_id, user_id FROM events",
+    "str04_sliding_window_stream": "WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS s FROM events) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS end, event_type, count(*) AS n FROM w GROUP BY s, event_type",
+    "str08_session_stream": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM s GROUP BY user_id, session",
+}
+_LINE = "list_transform(regexp_split_to_array(coalesce(text, '') || CASE WHEN doc_id % 3 > 0 THEN chr(10) || 'https://a.example/b' || chr(10) || '  Follow US on x' || chr(10) || 'after it' ELSE chr(10) || '#one#two' || chr(10) || 'last' || chr(10) || 'last' END, '\r?\n'), lambda x: trim(x, ' '))"
+_TAG = r"#[\p{L}\p{M}\p{N}_]+"
+_NOISE = f"(contains(x, '#') AND length(trim(regexp_replace(x, '{_TAG}', '', 'g'), ' ')) <= greatest(3, length(x) * 0.15))"
+_STUFFED = r"(len(string_split(x, ',')) >= 5 AND len(list_filter(string_split(x, ','), lambda p: len(regexp_split_to_array(trim(p, ' '), '\s+')) <= 6)) / len(string_split(x, ','))::DOUBLE > 0.8)"
+
+
+def _any(patterns: tuple[str, ...]) -> str:
+    return "regexp_matches(x, '" + "|".join(f"(?:{p})" for p in patterns) + "')"
+
+
+SQL["txt08_boilerplate"] = (
+    f"WITH l AS (SELECT doc_id, {_LINE} AS a FROM documents), c AS (SELECT doc_id, a, coalesce(list_position(list_transform(a, lambda x: {_any(CUT_MARKERS)}), true), 0) AS k FROM l),"
+    + f" g AS (SELECT doc_id, list_filter(CASE WHEN k > 0 THEN a[1:k - 1] ELSE a END, lambda x: x <> '' AND NOT {_any(DROP_LINES)} AND NOT {_NOISE} AND NOT {_STUFFED}) AS g FROM c),"
+    + " f AS (SELECT doc_id, [g[i] FOR i IN range(1, len(g) + 1) IF i = 1 OR g[i] <> g[i - 1]] AS f FROM g) SELECT doc_id, len(f) AS lines, sha256(coalesce(array_to_string(f, chr(10)), '')) AS clean_hash FROM f"
+)

@@ -36,9 +36,9 @@ def number_or_null(value: Column) -> Column:
     return value.try_cast("double")
 
 
-def broadcast_state(state: Column, starts: Column, now: Column) -> Column:
-    """live, upcoming or ended of a broadcast; null for what isn't one."""
-    return F.when(state == "live", "live").when(state == "upcoming", F.when(starts > now, "upcoming").otherwise("ended")).when(state == "completed", "ended")
+def broadcast_state_of(flag: Column, started: Column, ended: Column) -> Column:
+    """live, upcoming or ended of a broadcast; null for what never was one. The flag alone doesn't tell a finished one."""
+    return F.when(flag.isin("live", "upcoming"), flag).when(started.isNotNull() | ended.isNotNull(), "ended")
 
 
 def media(mentions: DataFrame, image: Column, limit: int = 24) -> DataFrame:

@@ -12,7 +12,7 @@ from fieldglass.functions import text as T
 from fieldglass.operators import dedup
 from fieldglass.plans import findings as N
 from fieldglass.plans import read_model as R
-from fieldglass.plans import delivery, enrichment, rows, texts
+from fieldglass.plans import delivery, enrichment, ledger, payloads, rows, texts
 from fieldglass.plans.mentions import document_mentions, event_mentions
 from fieldglass.sources import sinks
 from fieldglass.streaming import mentions as stream
@@ -159,9 +159,9 @@ def stale(events: DataFrame) -> DataFrame:
 
 
 def trace(mentions: DataFrame) -> DataFrame:
-    """The chain of one author's records: origin, platform and running number."""
-    order = Window.orderBy("seen_at", "mention_id")
-    return mentions.where("author_id = 7").withColumn("step", F.row_number().over(order).cast("long")).select("step", "mention_id", "data_origin", "platform")
+    """The chain of each author's records: running number, origin, platform."""
+    order = Window.partitionBy("author_id").orderBy("seen_at", "mention_id")
+    return mentions.withColumn("step", F.row_number().over(order).cast("long")).select("author_id", "step", "mention_id", "data_origin", "platform")
 
 
 def alerts(mentions: DataFrame) -> DataFrame:
@@ -171,11 +171,17 @@ def alerts(mentions: DataFrame) -> DataFrame:
 
 
 def streamed(plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> Query:
-    return lambda spark, sf_dir: stream.drained(plan(stream.event_stream(spark, sf_dir)), mode)
+    """The drained stream; times as text, so that they read alike in every time zone's client."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = stream.drained(plan(stream.event_stream(spark, sf_dir)), mode)
+        return out.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("start", "end") else c for c in out.columns))
+
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return rows.QUERIES | enrichment.QUERIES | delivery.QUERIES | texts.QUERIES | {
+    return rows.QUERIES | enrichment.QUERIES | delivery.QUERIES | texts.QUERIES | payloads.QUERIES | ledger.QUERIES | {
         "win01_ranked_findings": on_events(N.findings),
         "agg01_environment": on_events(R.environment),
         "agg04_daily_histogram": on_events(R.daily_histogram),

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions import wording
+
 CONNECTORS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -28,13 +30,12 @@ def text_or_null(value: Column) -> Column:
 def read_rss(spark: SparkSession, path: str, limit: int = 40) -> DataFrame:
     """Items of RSS files: title and link are required, the body is the fullest there is, newest `limit` a file."""
 
-
-    schema = "title string, link string, description string, `content:encoded` string, pubDate string, guid string"
+    schema = "title string, link string, description string, `content:encoded` string, pubDate string, date string, guid string"
     items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).withColumn("feed", F.input_file_name())
-    at = F.try_to_timestamp(F.regexp_replace("pubDate", "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss Z"))
+    at = F.coalesce(wording.tolerant_time(F.col("pubDate")), wording.tolerant_time(F.col("date")))
     rows = items.select("feed", F.coalesce(text_or_null(F.col("guid")), F.col("link")).alias("external_id"), text_or_null(F.col("title")).alias("title"), text_or_null(F.col("link")).alias("url"), F.coalesce(text_or_null(F.col("content:encoded")), text_or_null(F.col("description"))).alias("body"), at.alias("published_at"))
     kept = rows.where("title IS NOT NULL AND url IS NOT NULL")
-    order = Window.partitionBy("feed").orderBy(F.desc("published_at"), "external_id")
+    order = Window.partitionBy("feed").orderBy(F.desc_nulls_last("published_at"), "external_id")
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
 
 
