@@ -7,7 +7,7 @@ segmentations (forward recursion in log space), that of a text the product over
 
 What is counted are distinct words: documents become bags of words, words get their count and their likelihood once,
 and bags meet words in two ways with one result. The HOT most frequent words, a fixed number of whatever length, are
-broadcast by 96 bits of hashes; the rest is joined by word, so no key is hot. Sums of scores are of whole numbers
+broadcast, a long one by its digest; the rest is joined by word, so no key is hot. Sums of scores are of whole numbers
 of STEP, which don't depend on the order of rows.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.shared import LOWER_BYTES, drop_stored, mapped, stored, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that are broadcast, by hash: some 3 MB.
+#: Words that are broadcast, of 64 bytes at most or by digest: some 8 MB.
 HOT = 1 << 16
 #: The unit in which scores (log10) are summed: a long then holds what a text of 1 GB can have.
 STEP = 1e-9
@@ -187,12 +187,13 @@ def lattice_scores(docs: DataFrame, pieces: dict[str, float] | None = None) -> D
     weighed = stored(weighed, "word-scores")
     drop_stored(spark, words)
 
-    hot = stored(weighed.orderBy(F.desc("all"), "word").limit(HOT).select(F.xxhash64("word").alias("h1"), F.crc32(F.encode("word", "utf-8")).alias("h2"), "known", "base", "lat"), "hot-words")
-    said = said.withColumns({"h1": F.xxhash64("word"), "h2": F.crc32(F.encode("word", "utf-8"))})
+    short = F.when(F.octet_length("word") <= 64, F.col("word")).otherwise(F.sha2("word", 256))
+    hot = stored(weighed.orderBy(F.desc("all"), "word").limit(HOT).select(short.alias("key"), "known", "base", "lat"), "hot-words")
+    said = said.withColumn("key", short)
     n = F.col("n")
-    parts = [F.sum(F.when(F.col("known"), n).otherwise(0)).alias("known"), *(F.sum(F.round(n * F.col(x) / STEP).cast("long")).alias(x) for x in ("base", "lat"))]
-    common = said.join(F.broadcast(hot), ["h1", "h2"]).groupBy("row").agg(*parts)
-    rare = said.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(weighed.select("word", "known", "base", "lat"), "word").groupBy("row").agg(*parts)
+    parts = [F.sum(F.when(F.col("known"), n).otherwise(0)).alias("known"), *(F.sum(F.rint(n * F.col(x) / STEP).cast("long")).alias(x) for x in ("base", "lat"))]
+    common = said.join(F.broadcast(hot), "key").groupBy("row").agg(*parts)
+    rare = said.join(F.broadcast(hot.select("key")), "key", "left_anti").join(weighed.select("word", "known", "base", "lat"), "word").groupBy("row").agg(*parts)
     sums = common.union(rare).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("known", "base", "lat")))
     return (
         kept.select("row", "doc_id", "held_out", "n_words")
