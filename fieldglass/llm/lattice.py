@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,8 +106,48 @@ class Lattice:
                     terms[end].append(alpha + score)
         return alpha
 
+    @cached_property
+    def weights(self) -> dict[str, float | None]:
+        """walk, with probabilities in place of their logarithms."""
+        return {p: None if score is None else math.exp(score) for p, score in self.walk.items()}
+
     def expect(self, word: str, times: float, into_counts: dict[str, float]) -> None:
-        """Add the expected uses of each piece in `times` of the word (forward and backward)."""
+        """Add the expected uses of each piece in `times` of the word (forward and backward).
+
+        Probabilities as such while they are far from underflow, as they are for all but long words; then their logarithms.
+        """
+        s, scores, get, n = SPACE + word, self.scores, self.weights.get, len(word) + 1
+        if n > 64:
+            return self.expect_long(word, times, into_counts)
+        alpha, edges = [1.0] + [0.0] * n, []
+        for start in range(n):
+            a = alpha[start]
+            if s[start] not in scores:
+                pieces = self.spelled(s[start])
+                w = math.exp(sum([scores.get(p, -30.0) for p in pieces]))
+                alpha[start + 1] += a * w
+                edges.append((start, start + 1, w, pieces))
+            for end in range(start + 1, n + 1):
+                w = get(p := s[start:end], False)
+                if w is False:
+                    break
+                if w is not None:
+                    alpha[end] += a * w
+                    edges.append((start, end, w, p))
+        if alpha[n] < 1e-250:
+            return self.expect_long(word, times, into_counts)
+        beta = [0.0] * n + [times / alpha[n]]
+        for start, end, w, piece in reversed(edges):
+            through = w * beta[end]
+            beta[start] += through
+            if piece.__class__ is str:
+                into_counts[piece] += alpha[start] * through
+            else:
+                for p in piece:
+                    into_counts[p] += alpha[start] * through
+
+    def expect_long(self, word: str, times: float, into_counts: dict[str, float]) -> None:
+        """expect() in logarithms."""
         into = self.edges(word)
         alpha = self.forward(into)
         beta = [-math.inf] * len(alpha)

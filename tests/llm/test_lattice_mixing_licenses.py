@@ -25,6 +25,14 @@ def test_expected_counts():
     assert sum(len(p) * n for p, n in counts.items()) == pytest.approx(2 * 5)
 
 
+@pytest.mark.parametrize("word", ["a", "abba", "aéb", "zz", "ab" * 20])
+def test_expected_counts_in_logarithms(word):
+    one, two = Counter(), Counter()
+    lattice.Lattice(SCORES).expect(word, 3.0, one)
+    lattice.Lattice(SCORES).expect_long(word, 3.0, two)
+    assert {p: n for p, n in one.items() if n > 1e-12} == {p: pytest.approx(n, rel=1e-9) for p, n in two.items() if n > 1e-12}
+
+
 def base_scores(docs):
     tokens = {d: [w.translate(brute.LOWER) for w in brute.words(t)] + [None] for d, t, _ in docs}
     c = Counter(x for d, _, h in docs if not h for x in tokens[d])
