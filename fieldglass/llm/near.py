@@ -215,6 +215,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the least doc_id that with the least hash. Rows equal in doc_id and text count once; rows without a doc_id all stay.
     """
     named = docs.where("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    shared = named.groupBy("doc_id").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("__shared"))
+    shared = stored(shared, "shared-texts")
+    # A vertex is a text: by its doc_id, so that groups gather about their first document, or where an id has several, by its hash.
+    vertex = F.col("doc_id").cast("long")
+    if not shared.isEmpty():
+        named, vertex = named.join(shared, "doc_id", "left"), F.when(F.col("__shared"), F.col("__text")).otherwise(vertex)
+    named = named.withColumn("__text", vertex)
     found = near_duplicates(named.select(F.col("__text").alias("doc_id"), "text")).select(F.col("doc_id").alias("__text"), "component_id").distinct()
     ids = named.select("__text", "doc_id").distinct().join(found, "__text")
     kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__text")).alias("least")).select("least.__text")
