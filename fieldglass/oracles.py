@@ -134,8 +134,8 @@ SQL |= payloads.SQL
 SQL |= ledger.sql(_FINDINGS, _EXACT)
 SQL |= {
     "str02_dedupe_stream": "SELECT DISTINCT event_id, user_id FROM events",
-    "str04_sliding_window_stream": "WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS s FROM events) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS end, event_type, count(*) AS n FROM w GROUP BY s, event_type",
-    "str08_session_stream": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM s GROUP BY user_id, session",
+    "str04_sliding_window_stream": "WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS s FROM events) SELECT s AS start, s + INTERVAL 1 DAY AS end, event_type, count(*) AS n FROM w GROUP BY s, event_type",
+    "str08_session_stream": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, session",
 }
 _LINE = "list_transform(regexp_split_to_array(coalesce(text, '') || CASE WHEN doc_id % 3 > 0 THEN chr(10) || 'https://a.example/b' || chr(10) || '  Follow US on x' || chr(10) || 'after it' ELSE chr(10) || '#one#two' || chr(10) || 'last' || chr(10) || 'last' END, '\r?\n'), lambda x: trim(x, ' '))"
 _TAG = r"#[\p{L}\p{M}\p{N}_]+"
