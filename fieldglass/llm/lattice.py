@@ -86,25 +86,21 @@ class Lattice:
     def likelihood(self, word: str) -> float:
         """Natural logarithm of the probability of the word over all segmentations."""
         s, scores, get, n = SPACE + word, self.scores, self.walk.get, len(word) + 1
-        terms: list[list[float]] = [[] for _ in range(n + 1)]
-        terms[0].append(0.0)
-        alpha = 0.0
-        for start in range(n + 1):
-            came = terms[start]
-            if len(came) == 1:
-                alpha = came[0]
-            else:
-                top = max(came)
-                alpha = top + math.log(sum([math.exp(t - top) for t in came]))
-            if start < n and s[start] not in scores:
-                terms[start + 1].append(alpha + sum([scores.get(p, -30.0) for p in self.spelled(s[start])]))
+        exp, log1p = math.exp, math.log1p
+        alpha: list[float | None] = [0.0] + [None] * n
+        for start in range(n):
+            a = alpha[start]
+            if s[start] not in scores:
+                t, old = a + sum([scores.get(p, -30.0) for p in self.spelled(s[start])]), alpha[start + 1]
+                alpha[start + 1] = t if old is None else old + log1p(exp(t - old)) if old > t else t + log1p(exp(old - t))
             for end in range(start + 1, n + 1):
                 score = get(s[start:end], False)
                 if score is False:
                     break
                 if score is not None:
-                    terms[end].append(alpha + score)
-        return alpha
+                    t, old = a + score, alpha[end]
+                    alpha[end] = t if old is None else old + log1p(exp(t - old)) if old > t else t + log1p(exp(old - t))
+        return alpha[n]
 
     @cached_property
     def weights(self) -> dict[str, float | None]:
