@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldglass.llm import chat, decontaminate, lattice, licenses, mixing, near, quality, repeats, secrets, warc
+from fieldglass.llm import chat, collocations, decontaminate, lattice, licenses, mixing, near, negatives, quality, repeats, secrets, topk, warc
 from fieldglass.llm.sql import SQL
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_near": near.op9_near,
         "op10_licenses": licenses.op10_licenses,
+        "op11_negatives": negatives.op11_negatives,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_topk": topk.op13_topk,
     }
 
 

@@ -84,4 +84,35 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, links.v F
 found AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN sizes USING (doc_id) JOIN found USING (doc_id)"""
 
-SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_repeats": _OP2, "op3_warc": _OP3, "op5_quality": _OP5, "op6_chat": _OP6, "op9_near": _OP9}
+_INTEGERS = """SELECT row_number() OVER () AS k, *, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"""
+_SCORE = "list_inner_product({0}.v, {1}.v)::BIGINT"
+
+_OP11 = f"""
+WITH r AS (SELECT k, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({_INTEGERS}) WHERE label IS NOT NULL),
+s AS (SELECT a.k AS anchor, a.vec_id AS anchor_id, x.k, x.vec_id, x.label = a.label AS same, {_SCORE.format("a", "x")} AS score FROM r a JOIN r x ON a.k <> x.k WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY anchor, p.k ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n USING (anchor) WHERE NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY anchor, p.k ORDER BY n.score DESC, n.vec_id) <= 3"""
+
+_OP12 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS (SELECT lang, p, len(p) AS m, count(*) AS f FROM (SELECT lang, w[s : s + m - 1] AS p FROM w, unnest([1, 2, 3, 4]) AS l(m), unnest(range(1, len(w) - m + 2)) AS t(s)) GROUP BY lang, p),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : c.m]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (SELECT DISTINCT c.lang, c.f AS longer, c.p[s : s + q - 1] AS p FROM c, unnest(range(2, m)) AS l(q), unnest(range(1, m - q + 2)) AS t(s)),
+gone AS (SELECT DISTINCT b.lang, b.p FROM best b JOIN inner_parts i ON i.lang = b.lang AND i.p = b.p WHERE 100 * i.longer >= 80 * b.a),
+ranked AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score::BIGINT AS score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM best ANTI JOIN gone USING (lang, p))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+_OP13 = f"""
+WITH r AS ({_INTEGERS})
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.k ORDER BY {_SCORE.format("q", "c")} DESC, c.vec_id)::INTEGER AS rank, c.vec_id, {_SCORE.format("q", "c")} AS score
+FROM r q JOIN r c ON q.k <> c.k WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5"""
+
+SQL: dict[str, str] = {"op1_decontaminate": _OP1, "op2_repeats": _OP2, "op3_warc": _OP3, "op5_quality": _OP5, "op6_chat": _OP6, "op9_near": _OP9, "op11_negatives": _OP11, "op12_collocations": _OP12, "op13_topk": _OP13}
