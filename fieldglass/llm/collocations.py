@@ -29,7 +29,7 @@ from fieldglass.llm.vectors import numbered
 #: Words of the longest phrase.
 DEPTH = 4
 #: Bytes of text of a shard; a longer document is one by itself.
-SHARD = 16 << 20
+SHARD = 8 << 20
 #: Bits of a word's global number.
 BITS = 31
 
@@ -211,7 +211,7 @@ def collocations(docs: DataFrame, least: int = 30, subsumed: int = 80, most: int
     floor(2000000 * a / (l + r)) counts, of equal ones the earliest. A phrase inside a longer one with subsumed percent of
     its occurrences or more goes. Order: score, then a, falling, then the phrase in UTF-8 bytes. n: words of the language.
     Repeated rows count each time; other columns are ignored; no words give no rows. A document is never divided: a task
-    takes some 40 bytes of memory for each byte of the longest text beyond 16 MB. Counts are exact up to 2**63.
+    takes some 40 bytes of memory for each byte of the longest text beyond 8 MB. Counts are exact up to 2**63.
     """
     words, phrases, totals = frequent_phrases(docs, least)
     counted = phrases.select("w", "f").union(words.select(F.array("number"), "f"))
