@@ -30,6 +30,8 @@ from fieldglass.llm.vectors import numbered
 DEPTH = 4
 #: Bytes of text of a shard; a longer document is one by itself.
 SHARD = 8 << 20
+#: Words of text for each part of the pairs; a part holds some of the different pairs of every shard.
+PART = 2 << 20
 #: Bits of a word's global number.
 BITS = 31
 
@@ -142,11 +144,42 @@ def _without_breaks(text: np.ndarray) -> np.ndarray:
     return text[(text > 0) | (np.concatenate([[0], text[:-1]]) > 0)]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, numbers in zip(batch.column(0), batch.column(1), strict=True):
-            words, count = Automaton(numbers.values.to_numpy(), 2).substrings(2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), shard.as_py())), pa.array(words[:, 0] << BITS | words[:, 1]), pa.array(count)], names=["shard", "gram", "c"])
+def _pairs(parts: int):
+    """The pairs of words of each shard, dealt into parts: equal pairs of all shards into the same one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, numbers in zip(batch.column(0), batch.column(1), strict=True):
+                words, c = Automaton(numbers.values.to_numpy(), 2).substrings(2)
+                gram = words[:, 0] << BITS | words[:, 1]
+                part = (((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                used, first = np.unique(part[order], return_index=True)
+                ends = pa.array([*first, len(order)], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (gram, c)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), shard.as_py())), pa.array(used), *lists], names=["shard", "part", "grams", "counts"])
+
+    return count
+
+
+def _frequent(least: int):
+    """Of a part: a row for each shard with those of its pairs that are frequent over all shards, and one without a shard
+    with all of these and their counts."""
+
+    def reduce(table: pa.Table) -> pa.Table:
+        grams, counts = (table[c].combine_chunks() for c in ("grams", "counts"))
+        ends = grams.offsets.to_numpy() - grams.offsets[0].as_py()
+        gram, at = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        f = np.zeros(len(gram), np.int64)
+        np.add.at(f, at, counts.flatten().to_numpy())
+        kept = (f >= least)[at]
+        own = pa.array(np.concatenate([[0], np.cumsum(kept)])[ends], pa.int32())
+        back = pa.ListArray.from_arrays(own, pa.array(gram[at[kept]]))
+        kinds = [pa.list_(pa.int64())] * 2
+        columns = [[table["shard"].combine_chunks(), pa.array([None], pa.int64())], [back, pa.array([gram[f >= least]], kinds[0])], [pa.nulls(len(back), kinds[1]), pa.array([f[f >= least]], kinds[1])]]
+        return pa.table([pa.chunked_array(x) for x in columns], names=["shard", "grams", "f"])
+
+    return reduce
 
 
 def _longer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -154,9 +187,9 @@ def _longer(left: pa.Table, right: pa.Table) -> pa.Table:
     found = []
     if left.num_rows and right.num_rows:
         text = left["numbers"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        known = np.sort(right["gram"].to_numpy())
+        known = np.sort(right["grams"].combine_chunks().flatten().to_numpy())
         gram = text[:-1] << BITS | text[1:]
-        there = known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram
+        there = known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram if len(known) else np.zeros(len(gram), bool)
         broken = np.zeros(2 * len(text), np.int64)  # a break after each word that doesn't go on
         broken[::2] = text
         keep = np.ones(2 * len(text), bool)
@@ -191,14 +224,16 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
     named = stored(shards.select("shard", "numbers").groupBy("shard").cogroup(names.groupBy("of")).applyInArrow(_renamed, "shard long, numbers array<int>"), "named")
     drop_stored(spark, shards)
 
-    pairs = stored(named.select("shard", "numbers").mapInArrow(_pairs, "shard long, gram long, c long"), "pairs")
-    two = stored(pairs.groupBy("gram").agg(F.sum("c").alias("f")).where(F.col("f") >= least), "two")
-    back = pairs.select(F.col("shard").alias("of"), "gram").join(two.select("gram").hint("shuffle_hash"), "gram", "left_semi")
+    parts = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART))
+    pairs = named.select("shard", "numbers").mapInArrow(_pairs(parts), "shard long, part long, grams array<long>, counts array<long>")
+    found = stored(pairs.groupBy("part").applyInArrow(_frequent(least), "shard long, grams array<long>, f array<long>"), "pairs")
+    two = found.where("shard IS NULL").select(F.explode(F.arrays_zip("grams", "f")).alias("x")).select(F.col("x.grams").alias("gram"), F.col("x.f").alias("f"))
+    back = found.where("shard IS NOT NULL").select(F.col("shard").alias("of"), "grams")
     longer = named.groupBy("shard").cogroup(back.groupBy("of")).applyInArrow(_longer, "a long, b long, c long")
     more = longer.groupBy("a", "b").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     both = two.select(_unpacked("gram").alias("w"), "f").union(more.select(F.concat(_unpacked("a"), _unpacked("b")).alias("w"), "f"))
     phrases = stored(both, "phrases")
-    drop_stored(spark, named, pairs, two)
+    drop_stored(spark, named, found)
     return words, phrases, totals
 
 
