@@ -54,20 +54,31 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(one) == 0) | (F.size(two) == 0), 1.0).otherwise(jaccard(one, two))
 
 
-def without_trailing_hashtags(text: Column) -> Column:
-    return F.regexp_replace(text, "(\\s*#[\\p{L}\\p{M}\\p{N}_]+)+\\s*$", "")
+#: What counts as blank, beyond ASCII too, and a hashtag: ASCII word characters and the script that joins its suffixes.
+BLANK = "\\x{09}-\\x{0D}\\x{20}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+HASHTAG = "#[A-Za-z0-9_\\x{0C00}-\\x{0C7F}]+"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+\\z", "")
+
+
+def without_trailing_hashtags(line: Column) -> Column:
+    """The line, trimmed, without the two hashtags or more, each after a blank, that it ends in."""
+    return trimmed(F.regexp_replace(line, f"(?:[{BLANK}]+{HASHTAG}){{2,}}[{BLANK}]*\\z", ""))
 
 
 def is_hashtag_noise(line: Column) -> Column:
-    """A line with hashtags and next to nothing else."""
-    rest = F.length(F.trim(F.regexp_replace(line, "#[\\p{L}\\p{M}\\p{N}_]+", "")))
-    return line.contains("#") & (rest <= F.greatest(F.lit(3.0), F.length(line) * 0.15))
+    """A line with hashtags and, separators aside, next to nothing else."""
+    whole = trimmed(line)
+    rest = F.regexp_replace(F.regexp_replace(whole, HASHTAG, ""), f"[{BLANK}|,·-]", "")
+    return whole.contains("#") & (F.length(rest) <= F.greatest(F.lit(3.0), F.length(whole) * 0.15))
 
 
 def is_keyword_stuffing(line: Column) -> Column:
-    """Four commas or more, and nearly all that is between them short."""
+    """Four commas or more, and more than four in five of the parts between them short; an empty part isn't."""
     parts = F.split(line, ",")
-    short = F.filter(parts, lambda p: F.size(F.split(F.trim(p), "\\s+")) <= 6)
+    short = F.filter(F.transform(parts, trimmed), lambda p: (p != "") & (F.size(F.split(p, f"[{BLANK}]+")) <= 6))
     return (F.size(parts) >= 5) & (F.size(short) / F.size(parts) > 0.8)
 
 
@@ -96,26 +107,33 @@ DROP_LINES = (
 
 
 def cleaned_lines(docs: DataFrame, text: str = "text", cut: tuple[str, ...] = CUT_MARKERS, drop: tuple[str, ...] = DROP_LINES) -> DataFrame:
-    """docs with `lines`: those up to the first that matches one of `cut`, without those that match one of `drop`, noise,
-    empty ones and consecutive repeats. Null has none."""
-    lines = once(docs, "all_lines", F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), F.trim))
+    """docs with `lines`: those before the first that matches one of `cut`, without those that match one of `drop` and noise,
+    each without its trailing hashtags, and without empty ones and consecutive repeats. Null has none."""
+    lines = once(docs, "all_lines", F.split(F.coalesce(text, F.lit("")), "\r?\n"))
     marks = F.array_position(F.transform("all_lines", lambda x: x.rlike("|".join(f"(?:{c})" for c in cut))), True)
     head = F.when(marks > 0, F.slice("all_lines", 1, (marks - 1).cast("int"))).otherwise(F.col("all_lines"))
-    good = F.filter(head, lambda x: (x != "") & ~x.rlike("|".join(f"(?:{d})" for d in drop)) & ~is_hashtag_noise(x) & ~is_keyword_stuffing(x))
-    kept = once(lines, "good", good)
+    good = F.filter(head, lambda x: ~x.rlike("|".join(f"(?:{d})" for d in drop)) & ~is_hashtag_noise(x) & ~is_keyword_stuffing(x))
+    kept = once(lines, "good", F.filter(F.transform(good, without_trailing_hashtags), lambda x: x != ""))
     fresh = F.filter("good", lambda x, i: (i == 0) | (F.get("good", i - 1) != x))
     return kept.withColumn("lines", fresh).drop("all_lines", "good")
 
 
+# Entities and what they stand for; the ampersand last, so that nothing is decoded twice.
+ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#0?39;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&#8217;", "'"), ("&#8216;", "'"),
+    ("&#82[12]0;", '"'), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
+]
+
+
 def html_text(html: Column) -> Column:
-    """Visible text of a page: scripts and styles out, block ends as line breaks, the common entities decoded."""
+    """Visible text of markup: scripts and styles out, block ends as line breaks, the common entities decoded, by name or number."""
     text = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     text = F.regexp_replace(text, "(?i)<br\\s*/?>|</(p|div|li|h[1-6]|tr|ul|ol|table|section|article)>", "\n")
     text = F.regexp_replace(text, "<[^>]+>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    text = F.regexp_replace(text, "[ \\t\\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, " ?\n ?", "\n"), "\n{2,}", "\n"))
+    for entity, plain in ENTITIES:
+        text = F.regexp_replace(text, f"(?i){entity}", plain)
+    text = F.regexp_replace(text, "[ \\t\\r\\x{A0}]+", " ")
+    return trimmed(F.regexp_replace(F.regexp_replace(text, " ?\n ?", "\n"), "\n{2,}", "\n"))
 
 
 def term_pattern(variants: list[str]) -> str:
@@ -141,3 +159,16 @@ def script_share(text: Column, first: int, last: int) -> Column:
 
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "\\s+", "-")
+
+
+def letter_share(text: Column, script: str = "\\x{0C00}-\\x{0C7F}") -> Column:
+    """Share of a script's characters among these and the letters a-z; 0 without either."""
+    own = F.length(F.regexp_replace(text, f"[^{script}]", ""))
+    latin = F.length(F.regexp_replace(text, "[^a-zA-Z]", ""))
+    return F.when(own + latin == 0, 0.0).otherwise(own / (own + latin))
+
+
+def language_class(text: Column, name: str = "te", script: str = "\\x{0C00}-\\x{0C7F}") -> Column:
+    """The script's language above three quarters, `mixed` above 0.15, else `en` if there is a letter a-z, else `other`."""
+    share = letter_share(text, script)
+    return F.when(share > 0.75, name).when(share > 0.15, "mixed").when(text.rlike("[a-zA-Z]"), "en").otherwise("other")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of registry.py."""
 
-from fieldglass.functions.text import CUT_MARKERS, DROP_LINES
+from fieldglass.functions.text import BLANK, ENTITIES
 from fieldglass.plans import delivery, enrichment, ledger, payloads, relevance, rows, stored, texts
 from fieldglass.plans.mentions import DOCUMENTS_SQL, MENTIONS_SQL
 
@@ -65,10 +65,10 @@ _PAGE = "html"
 _PAGE = f"regexp_replace({_PAGE}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
 _PAGE = rf"regexp_replace({_PAGE}, '(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|ul|ol|table|section|article)>', chr(10), 'g')"
 _PAGE = f"regexp_replace({_PAGE}, '<[^>]+>', ' ', 'g')"
-for _a, _b in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
-    _PAGE = f"replace({_PAGE}, '{_a}', {_b})"
-_PAGE = rf"regexp_replace({_PAGE}, '[ \t\r]+', ' ', 'g')"
-_PAGE = rf"trim(regexp_replace(regexp_replace({_PAGE}, ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), ' ')"
+for _a, _b in ENTITIES:
+    _PAGE = f"regexp_replace({_PAGE}, '(?i){_a}', '" + _b.replace("'", "''") + "', 'g')"
+_PAGE = rf"regexp_replace({_PAGE}, '[ \t\r\x{{A0}}]+', ' ', 'g')"
+_PAGE = rf"regexp_replace(regexp_replace(regexp_replace({_PAGE}, ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), '^[{BLANK}]+|[{BLANK}]+$', '', 'g')"
 
 SQL: dict[str, str] = {
     "win01_ranked_findings": _M + _FINDINGS + " SELECT data_origin, topic, mentions, voices, districts, source_types, category, signal, trajectory, divergence, confidence, score, rank FROM ranked",
@@ -139,18 +139,3 @@ SQL |= {
     "str04_sliding_window_stream": "WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS s FROM events) SELECT s AS start, s + INTERVAL 1 DAY AS end, event_type, count(*) AS n FROM w GROUP BY s, event_type",
     "str08_session_stream": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, session",
 }
-_LINE = "list_transform(regexp_split_to_array(coalesce(text, '') || CASE WHEN doc_id % 3 > 0 THEN chr(10) || 'https://a.example/b' || chr(10) || '  Follow US on x' || chr(10) || 'after it' ELSE chr(10) || '#one#two' || chr(10) || 'last' || chr(10) || 'last' END, '\r?\n'), lambda x: trim(x, ' '))"
-_TAG = r"#[\p{L}\p{M}\p{N}_]+"
-_NOISE = f"(contains(x, '#') AND length(trim(regexp_replace(x, '{_TAG}', '', 'g'), ' ')) <= greatest(3, length(x) * 0.15))"
-_STUFFED = r"(len(string_split(x, ',')) >= 5 AND len(list_filter(string_split(x, ','), lambda p: len(regexp_split_to_array(trim(p, ' '), '\s+')) <= 6)) / len(string_split(x, ','))::DOUBLE > 0.8)"
-
-
-def _any(patterns: tuple[str, ...]) -> str:
-    return "regexp_matches(x, '" + "|".join(f"(?:{p})" for p in patterns) + "')"
-
-
-SQL["txt08_boilerplate"] = (
-    f"WITH l AS (SELECT doc_id, {_LINE} AS a FROM documents), c AS (SELECT doc_id, a, coalesce(list_position(list_transform(a, lambda x: {_any(CUT_MARKERS)}), true), 0) AS k FROM l),"
-    + f" g AS (SELECT doc_id, list_filter(CASE WHEN k > 0 THEN a[1:k - 1] ELSE a END, lambda x: x <> '' AND NOT {_any(DROP_LINES)} AND NOT {_NOISE} AND NOT {_STUFFED}) AS g FROM c),"
-    + " f AS (SELECT doc_id, [g[i] FOR i IN range(1, len(g) + 1) IF i = 1 OR g[i] <> g[i - 1]] AS f FROM g) SELECT doc_id, len(f) AS lines, sha256(coalesce(array_to_string(f, chr(10)), '')) AS clean_hash FROM f"
-)

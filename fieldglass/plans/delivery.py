@@ -70,7 +70,12 @@ def _events(plan: Callable[[DataFrame], DataFrame]):
 
 def _times(orders: DataFrame) -> DataFrame:
     day, key = F.col("o_orderdate"), F.col("o_orderkey")
-    text = F.when(key % 4 == 0, F.date_format(day, "yyyy-MM-dd'T'10:30:00'Z'")).when(key % 4 == 1, F.concat(F.lit("Tue, "), F.date_format(day, "dd MMM yyyy"), F.lit(" 10:30:00 +0530"))).when(key % 4 == 2, F.date_format(day, "yyyy-MM-dd")).otherwise("soon")
+    shaped = lambda pattern: F.date_format(day, pattern)
+    said = [
+        shaped("yyyy-MM-dd'T'10:30:00'Z'"), F.concat(F.lit("Tue, "), shaped("dd MMM yyyy"), F.lit(" 10:30:00 +0530")), shaped("yyyy-MM-dd"), F.lit("soon"), shaped("yyyy-MM-dd'T'10:30:00.123+05:30"), F.concat(shaped("d MMM yyyy"), F.lit(" 10:30 GMT")),
+        F.concat(F.lit("Tuesday, "), shaped("d MMMM yyyy"), F.lit(" 10:30:00 EST")), F.concat(shaped("EEE MMM dd"), F.lit(" 10:30:00 +0530 "), shaped("yyyy")), shaped("yyyy-MM-dd 10:30"), shaped("yyyy-02-30"), shaped("d 'Foo' yyyy"),
+    ]
+    text = F.get(F.array(*said), (key % len(said)).cast("int"))
     return orders.select("o_orderkey", F.date_format(wording.tolerant_time(text), "yyyy-MM-dd HH:mm").alias("at"))
 
 
@@ -110,7 +115,7 @@ def sql(texts_sql: str, transcripts_sql: str) -> dict[str, str]:
     steps = " ".join(f"WHEN '{k}' THEN '{'; '.join(v)}'" for k, v in STEPS.items())
     return {
         "dat06_shown_numbers": f"SELECT o_orderkey, CASE WHEN length({digits}) <= 3 THEN {digits} ELSE ltrim({pairs}, ',') || ',' || right({digits}, 3) END AS number, CASE WHEN m < 60 THEN m || ' min ago' WHEN m < 2880 THEN (m // 60) || ' h ago' ELSE (m // 1440) || ' d ago' END AS ago FROM (SELECT *, {minutes} AS m FROM orders)",
-        "dat07_tolerant_time": "SELECT o_orderkey, strftime(CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 630 MINUTES WHEN 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL 300 MINUTES WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) END, '%Y-%m-%d %H:%M') AS at FROM orders",
+        "dat07_tolerant_time": "SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + to_minutes([630, 300, 0, NULL, 300, 630, 930, 300, 630, NULL, NULL][o_orderkey % 11 + 1]), '%Y-%m-%d %H:%M') AS at FROM orders",
         "scr23_alert_texts": f"SELECT data_origin, topic, {prefix} || CASE WHEN length({head}) > {room} THEN rtrim(left({head}, {room} - 1)) || '…' ELSE {head} END AS title FROM ({texts_sql})",
         "scr24_district_phrases": MENTIONS_SQL + ", d AS (SELECT data_origin, topic, list_sort(list(DISTINCT district)) AS ds FROM live WHERE district IS NOT NULL GROUP BY 1, 2) SELECT data_origin, topic, array_to_string(ds[1:3], ', ') || CASE WHEN len(ds) > 3 THEN ' and ' || (len(ds) - 3) || ' more' ELSE '' END AS phrase FROM d",
         "scr25_verification_steps": f"SELECT event_type, count(*) AS n, CASE event_type {steps} ELSE 'look for a second source' END AS steps FROM events GROUP BY 1",

@@ -44,7 +44,7 @@ def location_tree(regions: DataFrame, districts: DataFrame) -> DataFrame:
 def upserted(prior: DataFrame, new: DataFrame, keys: list[str], kept: str, kept_if: str) -> DataFrame:
     """new with its column `kept` taken from prior wherever prior has a value in `kept_if`; prior rows without new ones stay."""
     held = prior.select(*keys, F.when(F.col(kept_if).isNotNull(), F.col(kept)).alias("held"), F.col(kept_if).alias("reason"))
-    out = new.join(held, keys, "left").withColumns({kept: F.coalesce("held", kept), kept_if: F.coalesce("reason", F.lit(None))}).drop("held", "reason")
+    out = new.join(held, keys, "left").withColumns({kept: F.coalesce("held", kept), kept_if: F.coalesce("reason", kept_if)}).drop("held", "reason")
     return out.unionByName(prior.join(new, keys, "left_anti"), allowMissingColumns=True)
 
 

@@ -73,7 +73,8 @@ def web_page() -> Column:
 def normalized(items: DataFrame, official_handles: tuple[str, ...] = ()) -> DataFrame:
     """items (platform, external_id, published_at, payload, ...) as platform, external_id, the COLUMNS, source_kind and error.
 
-    error tells rows of a platform that nothing projects; their other columns are null.
+    error tells rows of a platform that nothing projects and of a payload that is null or no JSON object; their other
+    columns are null.
     """
     parsed = items.withColumn("p", F.from_json("payload", FIELDS))
     feed = F.coalesce(F.col("p.payloadKind") == "youtube-rss-entry", F.lit(False))
@@ -81,7 +82,9 @@ def normalized(items: DataFrame, official_handles: tuple[str, ...] = ()) -> Data
     row = F.lit(None)
     for name, projection in by_platform.items():
         row = F.when(F.col("platform") == name, projection).otherwise(row)
-    out = parsed.withColumn("row", row).withColumn("error", F.when(F.col("row").isNull(), F.concat(F.lit("no projection for platform "), F.coalesce("platform", F.lit("null")))))
+    broken = F.coalesce(~F.startswith(F.trim("payload"), F.lit("{")) | F.try_parse_json("payload").isNull(), F.lit(True))
+    row = F.when(~broken, row)
+    out = parsed.withColumn("row", row).withColumn("error", F.when(broken, "payload is no JSON object")).withColumn("error", F.coalesce("error", F.when(F.col("row").isNull(), F.concat(F.lit("no projection for platform "), F.coalesce("platform", F.lit("null"))))))
     return out.select("platform", "external_id", *(F.col(f"row.{c}").alias(c) for c in COLUMNS), source_kind(F.col("row.bio")).alias("source_kind"), "error")
 
 

@@ -124,10 +124,8 @@ def headline(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
-    """Lines of channels, with the calls to action that they end in, cleaned; every third document has none of these."""
-    tail = F.concat(F.lit("\nhttps://a.example/b\n  Follow US on x\nafter it"))
-    made = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 > 0, tail).otherwise(F.lit("\n#one#two\nlast\nlast"))).alias("text"))
-    return T.cleaned_lines(made).select("doc_id", F.size("lines").cast("long").alias("lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("clean_hash"))
+    """Whole texts, each with a tail of promotion, tags and stuffing, cleaned."""
+    return T.cleaned_lines(texts.with_tail(docs.select("doc_id", "text"))).select("doc_id", F.size("lines").cast("long").alias("lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("clean_hash"))
 
 
 def language(docs: DataFrame) -> DataFrame:

@@ -17,24 +17,32 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that the stream yields for what is there now, as a table in the shared folder; restarts go on from its checkpoint.
+def drained(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """All that the stream has yielded once what is there now is read, as a table in the shared folder.
 
-    Mode complete is for aggregations: each batch writes the whole result so far, and the last one is the table.
+    folder: where result and checkpoint stay; called again with it, the stream goes on from there. Without one, a new
+    folder is taken and the stream starts over. Mode complete is for aggregations: each batch writes the whole result so
+    far under its number, and the last one is the table.
     """
     spark = stream.sparkSession
-    out, state = work_path(spark, "stream"), work_path(spark, "stream-state")
-    written: list[str] = []
+    folder = (folder or work_path(spark, "stream")).rstrip("/")
+    out, state = f"{folder}/result", f"{folder}/checkpoint"
 
     def upsert(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
-        written.append(f"{out}/{number}")
+
+    def last() -> str | None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(out)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [x.getPath() for x in files.listStatus(at)] if files.exists(at) else []
+        whole = [int(p.getName()) for p in done if p.getName().isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return f"{out}/{max(whole)}" if whole else None
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     query = writer.foreachBatch(upsert).start() if mode == "complete" else writer.format("parquet").start(out)
     query.awaitTermination()
     if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)
+        return spark.read.schema(stream.schema).parquet(last()) if last() else spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(out)
 
 
