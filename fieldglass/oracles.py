@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of registry.py."""
 
 from fieldglass.functions.text import BLANK, ENTITIES
-from fieldglass.plans import delivery, enrichment, ledger, payloads, relevance, rows, snapshot, stored, texts
+from fieldglass.plans import adjudication, delivery, enrichment, ledger, payloads, places, relevance, rows, snapshot, stored, texts
 from fieldglass.plans.mentions import DOCUMENTS_SQL, MENTIONS_SQL
 
 _M, _D = MENTIONS_SQL, DOCUMENTS_SQL
@@ -134,7 +134,7 @@ SQL |= payloads.SQL
 SQL |= ledger.sql(_FINDINGS, _EXACT)
 SQL |= relevance.SQL
 SQL |= stored.SQL
-SQL |= snapshot.SQL
+SQL |= snapshot.SQL | places.SQL | adjudication.sql(_M)
 SQL |= {
     "str02_dedupe_stream": "SELECT DISTINCT event_id, user_id FROM events",
     "str04_sliding_window_stream": "WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 12 HOUR]) AS s FROM events) SELECT s AS start, s + INTERVAL 1 DAY AS end, event_type, count(*) AS n FROM w GROUP BY s, event_type",
