@@ -59,27 +59,31 @@ BLANK = "\\x{09}-\\x{0D}\\x{20}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2
 HASHTAG = "#[A-Za-z0-9_\\x{0C00}-\\x{0C7F}]+"
 
 
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+\\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def without_trailing_hashtags(line: Column) -> Column:
     """The line, trimmed, without the two hashtags or more, each after a blank, that it ends in."""
-    return trimmed(F.regexp_replace(line, f"(?:[{BLANK}]+{HASHTAG}){{2,}}[{BLANK}]*\\z", ""))
+    bare = F.regexp_replace(line, f"(?:[{BLANK}]+{HASHTAG}){{2,}}[{BLANK}]*\\z", "")
+    return trimmed(F.when(F.contains(line, F.lit("#")), bare).otherwise(line))
 
 
 def is_hashtag_noise(line: Column) -> Column:
     """A line with hashtags and, separators aside, next to nothing else."""
     whole = trimmed(line)
     rest = F.regexp_replace(F.regexp_replace(whole, HASHTAG, ""), f"[{BLANK}|,·-]", "")
-    return whole.contains("#") & (F.length(rest) <= F.greatest(F.lit(3.0), F.length(whole) * 0.15))
+    return line.contains("#") & (F.length(rest) <= F.greatest(F.lit(3.0), F.length(whole) * 0.15))
 
 
 def is_keyword_stuffing(line: Column) -> Column:
     """Four commas or more, and more than four in five of the parts between them short; an empty part isn't."""
     parts = F.split(line, ",")
     short = F.filter(F.transform(parts, trimmed), lambda p: (p != "") & (F.size(F.split(p, f"[{BLANK}]+")) <= 6))
-    return (F.size(parts) >= 5) & (F.size(short) / F.size(parts) > 0.8)
+    return line.contains(",") & (F.size(parts) >= 5) & (F.size(short) / F.size(parts) > 0.8)
 
 
 # Lines that begin a channel's own text, of which nothing after counts, and lines that are always promotion.
