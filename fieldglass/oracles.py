@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of registry.py."""
 
 from fieldglass.functions.text import BLANK, ENTITIES
-from fieldglass.plans import adjudication, delivery, enrichment, ledger, payloads, places, relevance, rows, snapshot, stored, texts
+from fieldglass.plans import adjudication, alerts, delivery, enrichment, ledger, payloads, places, relevance, rows, snapshot, stored, texts
 from fieldglass.plans.mentions import DOCUMENTS_SQL, MENTIONS_SQL
 
 _M, _D = MENTIONS_SQL, DOCUMENTS_SQL
@@ -127,7 +127,7 @@ SELECT data_origin, CASE WHEN forward THEN p ELSE q END AS a, CASE WHEN forward
     "win06_first_narrative": _M + " SELECT data_origin, author_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY data_origin, author_id ORDER BY seen_at, mention_id) AS r FROM live) WHERE r = 1",
     "win08_argmax_topic": _M + ", c AS (SELECT data_origin, platform, topic, count(*) AS n FROM live GROUP BY 1, 2, 3) SELECT data_origin, platform, topic, n FROM (SELECT *, row_number() OVER (PARTITION BY data_origin, platform ORDER BY n DESC, topic) AS r FROM c) WHERE r = 1",
     "win09_top3_districts": _M + ", c AS (SELECT data_origin, topic, district, row_number() OVER (PARTITION BY data_origin, topic ORDER BY count(*) DESC, district) AS r FROM live WHERE district IS NOT NULL GROUP BY 1, 2, 3) SELECT data_origin, topic, string_agg(district, ', ' ORDER BY r) FILTER (r <= 3) AS districts, greatest(count(*) - 3, 0) AS more FROM c GROUP BY 1, 2",
-} | rows.sql(_FINDINGS, _EXACT) | enrichment.sql(_METRICS)
+} | rows.sql(_FINDINGS, _EXACT) | alerts.sql(_FINDINGS) | enrichment.sql(_METRICS)
 SQL |= delivery.sql(SQL["scr14_finding_texts"], SQL["src13_transcripts"])
 SQL |= texts.SQL
 SQL |= payloads.SQL

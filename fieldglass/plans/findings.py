@@ -19,7 +19,7 @@ def window_ends(mentions: DataFrame) -> DataFrame:
 def window_metrics(mentions: DataFrame) -> DataFrame:
     """One pass over each topic: its last week against the four weeks before, half-open windows."""
     ends = window_ends(mentions)
-    rows = live(mentions).join(ends, "data_origin")
+    rows = live(mentions).join(F.broadcast(ends), "data_origin")  # a row for each of three origins
     end = F.col("window_end")
     start, base = end - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS"), end - F.expr(f"INTERVAL {WINDOW_DAYS * (1 + BASE_WEEKS)} DAYS")
     rows = rows.withColumn("now", (F.col("seen_at") > start) & (F.col("seen_at") <= end)).withColumn("before", (F.col("seen_at") > base) & (F.col("seen_at") <= start))
@@ -86,7 +86,7 @@ def topic_candidates(mentions: DataFrame, subtopic_least: int = 3, base_least: i
 def trend_status(mentions: DataFrame) -> DataFrame:
     """emerging, resurfacing, rising, falling or stable, by the last two days and the two before."""
     ends = window_ends(mentions)
-    rows = live(mentions).join(ends, "data_origin")
+    rows = live(mentions).join(F.broadcast(ends), "data_origin")  # a row for each of three origins
     end = F.col("window_end")
     recent = F.col("seen_at") > end - F.expr("INTERVAL 2 DAYS")
     earlier = ~recent & (F.col("seen_at") > end - F.expr("INTERVAL 4 DAYS"))

@@ -12,7 +12,7 @@ from fieldglass.functions import text as T
 from fieldglass.operators import dedup
 from fieldglass.plans import findings as N
 from fieldglass.plans import read_model as R
-from fieldglass.plans import adjudication, delivery, enrichment, ledger, payloads, places, relevance as gate, rows, snapshot as copies, stored, texts
+from fieldglass.plans import adjudication, alerts as interrupts, delivery, enrichment, ledger, payloads, places, relevance as gate, rows, snapshot as copies, stored, texts
 from fieldglass.plans.mentions import document_mentions, event_mentions
 from fieldglass.sources import sinks
 from fieldglass.streaming import mentions as stream
@@ -179,7 +179,7 @@ def streamed(plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> Qu
 
 
 def queries() -> dict[str, Query]:
-    return rows.QUERIES | enrichment.QUERIES | delivery.QUERIES | texts.QUERIES | payloads.QUERIES | ledger.QUERIES | gate.QUERIES | stored.QUERIES | copies.QUERIES | places.QUERIES | adjudication.QUERIES | {
+    return rows.QUERIES | interrupts.QUERIES | enrichment.QUERIES | delivery.QUERIES | texts.QUERIES | payloads.QUERIES | ledger.QUERIES | gate.QUERIES | stored.QUERIES | copies.QUERIES | places.QUERIES | adjudication.QUERIES | {
         "win01_ranked_findings": on_events(N.findings),
         "agg01_environment": on_events(R.environment),
         "agg04_daily_histogram": on_events(R.daily_histogram),
