@@ -2,9 +2,10 @@
 
 The base patterns report by shape alone. Other long tokens are candidates only: they are reported when base64 or hex
 decodes to a key encoding (DER whose nested lengths fit, PEM armour around such DER), or when the first of three or
-five dotted parts decodes to a JSON object that names an algorithm. Base64 keys may be wrapped over lines and may begin
-within a longer run: the length in their DER tells where they end. Everything is judged within one text, so a row needs
-no other row.
+five dotted parts decodes to a JSON object that names an algorithm. Keys in base64 or hex may be wrapped over lines,
+with escaped line breaks, quote marks or a prefix on each, and may begin within a longer run: the length in their DER tells
+where they end. Everything is judged within one text, so a row needs no other row. The work is linear in the text: each
+run is decoded once for each of its alignments, and what is looked at from each start is bounded by the format.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ import binascii
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +28,30 @@ from fieldglass.llm.shared import mapped
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # greedy runs: the same spans as all runs of which the short ones are dropped
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----", re.A)
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----", re.A)
+#: Line breaks as such or escaped, once or more often, as in JSON.
+BREAK = re.compile(r"\r?\n|(?:\\+[rn])+")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+(?:\.[A-Za-z0-9_-]*){2,}", re.A)  # no header is shorter: {"alg":""}
 #: Where a header can begin: at the start of a part or after - or _, with what { or blanks or a byte order mark are in base64.
 HEADER = re.compile(r"(?<![A-Za-z0-9])[eICD7]", re.A)
-#: Where a DER sequence can begin: base64 of 0x30 and a length. Its characters may be wrapped over lines.
-SEQUENCE = re.compile(r"M(?=(?:[ \t\r]*\n[ \t]*)?[A-I])")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]+", re.A)
-WRAP = re.compile(r"[ \t\r]*\n[ \t]*")
+HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+", re.A)
+#: A line break within a key: in the text or escaped, with the marks of a quotation or of string literals about it.
+_WRAP = r"""(?:["'][ \t]*+[+,\\]?+)?+[ \t\r]*+\n[ \t]*+(?:[>|#*;][ \t]*+)*+["']?+|(?:\\++[rn])++(?:["'][ \t]*+[+,\\]?+[ \t\r]*+\n[ \t]*+["'])?+"""
+WRAP = re.compile(_WRAP)
+HEX_WRAP = re.compile(rf":?(?:{_WRAP})|[: ]")
+#: Where a DER sequence can begin: base64 of 0x30 and a length. Its characters may be wrapped over lines.
+SEQUENCE = re.compile(rf"M(?=(?:{_WRAP})?[A-I])")
+BARE_SEQUENCE = re.compile(r"M(?=[A-I])")
+HEX_SEQUENCE = re.compile(r"30")
+#: In hex the whole head can be told at once: a sequence, its length, and a version of one byte.
+HEX_HEAD = re.compile(r"30(?=(?:[0-7].|81..|82.{4}|83.{6}|84.{8})0201)")
 PAD = re.compile(r"={0,2}")
-HEX_PACKED = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}", re.A)
+BLANKS = b" \t\r\n"
+JSON_MARKS = re.compile(rb'\\*"|[][{}]')
+TO_PLAIN = str.maketrans("-_", "+/")
+#: Items of a key's sequence: an RSA key has nine and, if it has more primes, a list of them. All other forms have fewer.
+MOST_ITEMS = 10
 #: Kinds in their order at one start; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "signed", "der", "der_hex")
 NAMES = re.compile(r"passw|secret|token|api_?key")
@@ -49,10 +67,11 @@ def unpacked(text: str) -> bytes | None:
 
 
 def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the values that fill data[at:end] exactly; None if the lengths don't fit."""
+    """(tag, start, end) of the values that fill data[at:end] exactly; None if the lengths don't fit or there are more than
+    a key's."""
     found = []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(found) == MOST_ITEMS:
             return None
         tag, n = data[at], data[at + 1]
         at += 2
@@ -72,10 +91,15 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_key(data: bytes | None) -> bool:
-    """A DER sequence of the shape of a private key: an integer version, then numbers, octets or an algorithm."""
-    if not data or len(data) < 24 or data[0] != 0x30:
+    """A DER sequence, whole and with nothing after, of the shape of a private key."""
+    return bool(data) and is_key_at(data, 0, len(data))
+
+
+def is_key_at(data: bytes, at: int, end: int) -> bool:
+    """data[at:end] is a sequence of a version, then the numbers of RSA or DSA, octets, or an algorithm and octets."""
+    if end - at < 24 or data[at] != 0x30:
         return False
-    whole = der_items(data, 0, len(data))
+    whole = der_items(data, at, end)
     if not whole or len(whole) != 1:
         return False
     parts = der_items(data, whole[0][1], whole[0][2])
@@ -85,7 +109,8 @@ def is_key(data: bytes | None) -> bool:
     if tags[0] == 0x30 and len(tags) >= 2 and tags[1] == 0x04:  # PKCS #8: algorithm, then wrapped key
         inner = der_items(data, parts[1][1], parts[1][2])
         return bool(inner) and inner[0][0] == 0x06
-    return (len(tags) >= 5 and set(tags) == {0x02}) or tags[0] == 0x04  # RSA or DSA numbers; SEC 1 octets
+    more_primes = len(tags) == 9 and tags[8] == 0x30
+    return (len(tags) >= 5 and set(tags[:8] if more_primes else tags) == {0x02}) or tags[0] == 0x04  # SEC 1: octets
 
 
 def is_locked_key(data: bytes | None) -> bool:
@@ -121,13 +146,46 @@ def is_openssh_key(data: bytes | None) -> bool:
     return at == len(data)
 
 
-def is_armoured_key(label: str, headers: str, body: str) -> bool:
-    data = unpacked("".join(body.split()))
-    if "4,ENCRYPTED" in headers and "DEK-Info:" in headers:  # then the key is whole blocks of a cipher
+def armour_lines(text: str, start: int, body: str) -> list[str]:
+    """The lines between the marks of a key that begins at start, without what else stands on each of them.
+
+    Line breaks may be escaped. A prefix of the first line that every other line has too, as in quoted mail or comments, is no
+    part of them, nor are the quotation marks of string literals.
+    """
+    lines = body.split("\n")
+    if len(lines) > 1:
+        prefix = text[text.rfind("\n", 0, start) + 1 : start].rstrip()
+        if prefix and all(x.startswith(prefix) for x in lines[1:] if x.strip()):
+            lines = [lines[0], *(x[len(prefix) :] for x in lines[1:])]
+    parts = [x for line in lines for x in BREAK.split(line)]
+    return [x for x in map(unquoted, parts) if x]
+
+
+def unquoted(line: str) -> str:
+    """A line without blanks and what string literals put about it, and its slashes without escapes."""
+    line = line.strip()
+    if line.endswith("+") and line[:-1].rstrip().endswith(("'", '"')):
+        line = line[:-1]
+    return line.strip(" \t\"',;\\").replace("\\/", "/")
+
+
+def is_armoured_key(label: str, lines: list[str]) -> bool:
+    headers = [x for x in lines if ":" in x]
+    data = unpacked("".join("".join(x for x in lines if ":" not in x).split()))
+    if any("4,ENCRYPTED" in x for x in headers) and any("DEK-Info:" in x for x in headers):  # then the key is whole blocks of a cipher
         return bool(data) and len(data) >= 24 and len(data) % 8 == 0
     return is_openssh_key(data) if "OPENSSH" in label else is_locked_key(data) if "ENCRYPTED" in label else is_key(data)
 
 
+def armoured_spans(text: str) -> list[tuple[int, int]]:
+    """Spans from the mark that begins a key to the next mark, if that ends the same kind of key and a key lies between."""
+    marks, found = list(MARK.finditer(text)), []
+    for one, two in zip(marks, marks[1:], strict=False):
+        if (one[1], two[1]) == ("BEGIN", "END") and one[2] == two[2] and is_armoured_key(one[2], armour_lines(text, one.start(), text[one.end() : two.start()])):
+            found.append((one.start(), two.end()))
+    return found
+
+
 def header_of(part: str) -> dict | None:
     """A signed or encrypted token's header: a JSON object that names its algorithm."""
     try:
@@ -137,6 +195,52 @@ def header_of(part: str) -> dict | None:
     return found if isinstance(found, dict) and isinstance(found.get("alg"), str) else None
 
 
+def object_start(data: bytes) -> int | None:
+    """Where the JSON object that ends data begins: at the brace that its last one closes.
+
+    Seen from the end, what is within quotation marks is the same for every start, so there is one such brace.
+    """
+    if not data.rstrip(BLANKS).endswith(b"}"):
+        return None
+    marks = array("q", (m.end() - 1 for m in JSON_MARKS.finditer(data) if m[0][-1:] != b'"' or len(m[0]) % 2))  # an escaped one is part of its string
+    depth, inside = 0, False
+    for at in reversed(marks):
+        if data[at] == 0x22:
+            inside = not inside
+        elif not inside:
+            depth += 1 if data[at] in b"}]" else -1
+            if depth == 0:
+                return at if data[at] == 0x7B else None
+    return None
+
+
+def header_at(part: str) -> tuple[int, dict] | None:
+    """The first place of a part from which on it is a header, and that header."""
+    starts: dict[int, list[int]] = {}
+    for h in HEADER.finditer(part):
+        starts.setdefault(h.start() % 4, []).append(h.start())
+    found = []
+    for shift, places in starts.items():
+        if (len(part) - shift) % 4 == 1:
+            continue
+        code = part[shift:].translate(TO_PLAIN)
+        data = base64.b64decode(code + "=" * (-len(code) % 4))
+        brace = object_start(data)
+        if brace is None:
+            continue
+        least = brace
+        while least and data[least - 1] in BLANKS:
+            least -= 1
+        i = bisect_left(places, shift + (least + 2) // 3 * 4)
+        fits = places[i : i + 1] if i < len(places) and places[i] <= shift + brace // 3 * 4 else []
+        if least % 3 == 0 and data[max(least - 3, 0) : least] == b"\xef\xbb\xbf":
+            marked = shift + (least // 3 - 1) * 4
+            fits = places[i - 1 : i] if i and places[i - 1] == marked else fits
+        header = header_of(part[fits[0] :]) if fits else None
+        found += [(fits[0], header)] if header else []
+    return min(found, key=lambda x: x[0], default=None)
+
+
 def signed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of signed (three parts) and encrypted tokens (five): any dotted parts of which the first is a header.
 
@@ -150,53 +254,92 @@ def signed_spans(text: str) -> list[tuple[int, int]]:
         for i, (start, end) in enumerate(parts[:-2]):
             if start < done or end - start < 14:
                 continue
-            for h in HEADER.finditer(text, start, end):
-                head = (unpacked(text[h.start() : h.start() + 8]) or b"").removeprefix(b"\xef\xbb\xbf").lstrip()
-                header = header_of(text[h.start() : end]) if head[:1] in (b"", b"{") else None
-                if header is None:
-                    continue
-                n = 5 if "enc" in header and i + 5 <= len(parts) and parts[i + 4][0] < parts[i + 4][1] else 3
-                last = parts[i + n - 1]
-                if last[0] < last[1] or header["alg"].lower() == "none" and parts[i + 1][0] < parts[i + 1][1]:
-                    found.append((h.start(), last[1]))
-                    done = last[1]
-                    break
+            told = header_at(text[start:end])
+            if told is None:
+                continue
+            at, header = told
+            n = 5 if "enc" in header and i + 5 <= len(parts) and parts[i + 4][0] < parts[i + 4][1] else 3
+            last = parts[i + n - 1]
+            if last[0] < last[1] or header["alg"].lower() == "none" and parts[i + 1][0] < parts[i + 1][1]:
+                found.append((start + at, last[1]))
+                done = last[1]
     return found
 
 
-def gathered(text: str, at: int, want: int) -> tuple[str, int]:
-    """Up to `want` base64 characters from text[at:] on, line breaks and indents left out, and where they end."""
-    out, n = [], 0
-    while m := BASE64.match(text, at, at + want - n):
-        out.append(m[0])
-        n, at = n + len(m[0]), m.end()
-        wrap = n < want and WRAP.match(text, at)
-        if not wrap or not BASE64.match(text, wrap.end()):
-            break
-        at = wrap.end()
-    return "".join(out), at
+def runs(text: str, first: re.Pattern, digits: re.Pattern, wrap: re.Pattern) -> Iterator[tuple[str, list[int], list[int]]]:
+    """Runs of digits over their line breaks, each from its first `first` on: the digits, and where (in the run, in the text)
+    each unbroken part begins."""
+    at = 0
+    while m := first.search(text, at):
+        at, n, parts, begins, places = m.start(), 0, [], [], []
+        while c := digits.match(text, at):
+            parts.append(c[0])
+            begins.append(n)
+            places.append(at)
+            n, end = n + len(c[0]), c.end()
+            w = wrap.match(text, end)
+            at = w.end() if w else end
+            if not w:
+                break
+        at = max(end, m.end())
+        yield "".join(parts), begins, places
 
 
 def key_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of base64 keys without armour, wherever they begin and however they are wrapped; none within `taken`."""
-    found, done = [], 0
-    for m in SEQUENCE.finditer(text):
-        if m.start() < done or any(s <= m.start() < e for s, e in taken):
-            continue
-        head = unpacked(gathered(text, m.start(), 12)[0]) or b""
-        if len(head) < 9 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+    found, outside = [], [s for s, _ in taken]
+    for run, begins, places in runs(text, SEQUENCE, BASE64, WRAP):
+        if len(run) < 32:
             continue
-        more = head[1] & 0x7F if head[1] & 0x80 else 0
-        size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
-        if head[2 + more : 4 + more] != b"\x02\x01":  # a private key's version
-            continue
-        want = -(-size * 4 // 3)
-        if want > len(text) - m.start():
+        done, decoded = 0, {}
+
+        def place(i: int) -> int:
+            k = bisect_right(begins, i) - 1
+            return places[k] + i - begins[k]
+
+        for m in BARE_SEQUENCE.finditer(run):
+            i = m.start()
+            if i < done or len(run) - i < 32:
+                continue
+            if i % 4 not in decoded:
+                code = run[i % 4 :].translate(TO_PLAIN)
+                decoded[i % 4] = base64.b64decode(code + "A" * (-len(code) % 4))
+            data, at = decoded[i % 4], i // 4 * 3
+            if data[at] != 0x30 or data[at + 1] == 0x80 or data[at + 1] > 0x84:
+                continue
+            more = data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0
+            size = 2 + more + (int.from_bytes(data[at + 2 : at + 2 + more], "big") if more else data[at + 1])
+            want = -(-size * 4 // 3)
+            if data[at + 2 + more : at + 4 + more] != b"\x02\x01" or want > len(run) - i:  # a private key's version
+                continue
+            start = place(i)
+            near = bisect_right(outside, start) - 1
+            if (near < 0 or taken[near][1] <= start) and is_key_at(data, at, at + size):
+                done = i + want
+                found.append((start, PAD.match(text, place(done - 1) + 1).end()))
+    return found
+
+
+def hex_key_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of keys in hex, wherever they begin, wrapped, or with a colon or blank between bytes."""
+    found = []
+    for run, begins, places in runs(text, HEX_SEQUENCE, HEX_DIGITS, HEX_WRAP):
+        if len(run) < 48:
             continue
-        bare, end = gathered(text, m.start(), want)
-        if len(bare) == want and is_key(unpacked(bare)):
-            done = PAD.match(text, end).end()
-            found.append((m.start(), done))
+        done, decoded = 0, {}
+        for m in HEX_HEAD.finditer(run):
+            i = m.start()
+            if i < done:
+                continue
+            if i % 2 not in decoded:
+                decoded[i % 2] = bytes.fromhex(run[i % 2 : len(run) - (len(run) - i) % 2])
+            data, at = decoded[i % 2], i // 2
+            more = data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0
+            size = 2 + more + (int.from_bytes(data[at + 2 : at + 2 + more], "big") if more else data[at + 1])
+            if at + size <= len(data) and is_key_at(data, at, at + size):
+                done = i + 2 * size
+                ends = [places[k] + j - begins[k] for j in (i, done - 1) for k in [bisect_right(begins, j) - 1]]
+                found.append((ends[0], ends[1] + 1))
     return found
 
 
@@ -213,12 +356,11 @@ def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
     if long >= 24:
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "-----BEGIN " in text:
-        found += [("pem", *m.span()) for m in PEM.finditer(text) if is_armoured_key(*m.groups())]
+        found += [("pem", *span) for span in armoured_spans(text)]
     if long >= 18:
         found += [("signed", *span) for span in signed_spans(text)]
     found += [("der", *span) for span in key_spans(text, [(s, e) for k, s, e in found if k == "pem"])]
-    if long >= 64:
-        found += [("der_hex", *m.span()) for m in HEX_PACKED.finditer(text) if m[0][:2] == "30" and len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
+    found += [("der_hex", *span) for span in hex_key_spans(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
