@@ -14,6 +14,7 @@ of STEP, which don't depend on the order of rows.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property
@@ -32,6 +33,8 @@ STEP = 1e-9
 SPACE = "▁"
 #: Added to the expected count of each piece.
 SMOOTH = 0.1
+#: Characters of a word from which on its sums are kept in arrays: 16 bytes a character, 160 MB for a word of 10 MB.
+LONG = 1_000
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[str, float]:
@@ -56,35 +59,34 @@ class Lattice:
     def spelled(self, char: str) -> tuple[str, ...]:
         return tuple(f"<0x{b:02X}>" for b in char.encode("utf-8", "surrogatepass"))
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[str, ...]]]]:
-        """For each end: (start, score, pieces). A character that is no piece is spelled by its bytes."""
-        s, scores, get, n = SPACE + word, self.scores, self.walk.get, len(word) + 1
-        into: list[list[tuple[int, float, tuple[str, ...]]]] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            if s[start] not in scores:
-                pieces = self.spelled(s[start])
-                into[start + 1].append((start, sum(scores.get(p, -30.0) for p in pieces), pieces))
-            for end in range(start + 1, n + 1):
-                score = get(p := s[start:end], False)
-                if score is False:
-                    break
-                if score is not None:
-                    into[end].append((start, score, (p,)))
-        return into
-
-    def forward(self, into: list) -> list[float]:
-        alpha = [0.0]
-        for found in into[1:]:
-            terms = [alpha[start] + score for start, score, _ in found]
-            if len(terms) == 1:
-                alpha.append(terms[0])
-            else:
-                top = max(terms)
-                alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+    def steps(self, s: str, start: int) -> Iterator[tuple[int, float, tuple[str, ...]]]:
+        """(end, score, pieces) of what can come next at a place of a word. A character that is no piece is spelled by its bytes."""
+        scores, get = self.scores, self.walk.get
+        if s[start] not in scores:
+            pieces = self.spelled(s[start])
+            yield start + 1, sum([scores.get(p, -30.0) for p in pieces]), pieces
+        for end in range(start + 1, len(s) + 1):
+            score = get(p := s[start:end], False)
+            if score is False:
+                break
+            if score is not None:
+                yield end, score, (p,)
+
+    def forward(self, s: str) -> array:
+        """For each place, the logarithm of the sum over all ways to it: eight bytes a character."""
+        alpha = array("d", [-math.inf]) * (len(s) + 1)
+        alpha[0] = 0.0
+        for start in range(len(s)):
+            a = alpha[start]
+            for end, score, _ in self.steps(s, start):
+                t, old = a + score, alpha[end]
+                alpha[end] = max(old, t) + math.log1p(math.exp(-abs(old - t)))
         return alpha
 
     def likelihood(self, word: str) -> float:
         """Natural logarithm of the probability of the word over all segmentations."""
+        if len(word) > LONG:
+            return self.forward(SPACE + word)[-1]
         s, scores, get, n = SPACE + word, self.scores, self.walk.get, len(word) + 1
         exp, log1p = math.exp, math.log1p
         alpha: list[float | None] = [0.0] + [None] * n
@@ -143,22 +145,23 @@ class Lattice:
                     into_counts[p] += alpha[start] * through
 
     def expect_long(self, word: str, times: float, into_counts: dict[str, float]) -> None:
-        """expect() in logarithms."""
-        into = self.edges(word)
-        alpha = self.forward(into)
-        beta = [-math.inf] * len(alpha)
+        """expect() in logarithms, in two numbers a character: what leaves a place is looked up again on the way back."""
+        s = SPACE + word
+        alpha = self.forward(s)
+        beta = array("d", [-math.inf]) * len(alpha)
         beta[-1] = 0.0
         total = alpha[-1]
-        for end in range(len(alpha) - 1, 0, -1):
-            if beta[end] == -math.inf:
-                continue
-            for start, score, pieces in into[end]:
+        for start in range(len(s) - 1, -1, -1):
+            b = -math.inf
+            for end, score, pieces in self.steps(s, start):
                 through = score + beta[end]
-                b = beta[start]
-                beta[start] = through if b == -math.inf else max(b, through) + math.log1p(math.exp(-abs(b - through)))
+                if through == -math.inf:
+                    continue
+                b = through if b == -math.inf else max(b, through) + math.log1p(math.exp(-abs(b - through)))
                 p = times * math.exp(alpha[start] + through - total)
                 for piece in pieces:
                     into_counts[piece] += p
+            beta[start] = b
 
 
 def bags(docs: DataFrame) -> DataFrame:

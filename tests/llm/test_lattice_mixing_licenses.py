@@ -1,5 +1,6 @@
 import math
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -33,6 +34,20 @@ def test_expected_counts_in_logarithms(word):
     assert {p: n for p, n in one.items() if n > 1e-12} == {p: pytest.approx(n, rel=1e-9) for p, n in two.items() if n > 1e-12}
 
 
+def test_a_word_of_many_characters_takes_bounded_memory():
+    """100,000 characters without a blank: some ten numbers each, and the sums of the way by lists for shorter words."""
+    counts, word = Counter(), "abbab" * 20_000
+    tracemalloc.start()
+    lattice.Lattice(SCORES).expect(word, 1.0, counts)
+    found = lattice.Lattice(SCORES).likelihood(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(word) and math.isfinite(found)
+    assert sum(len(p) * n for p, n in counts.items()) == pytest.approx(len(word) + 1, rel=1e-6)
+    short = word[: lattice.LONG]
+    assert lattice.Lattice(SCORES).forward(lattice.SPACE + short)[-1] == pytest.approx(lattice.Lattice(SCORES).likelihood(short), rel=1e-9)
+
+
 def base_scores(docs):
     tokens = {d: [w.translate(brute.LOWER) for w in brute.words(t)] + [None] for d, t, _ in docs}
     c = Counter(x for d, _, h in docs if not h for x in tokens[d])
