@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,10 @@ from fieldglass.llm.shared import new_path
 END = "\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
-#: Records in one file, at most.
-FILE_RECORDS = 3_000
+#: A file holds at most FILE_RECORDS records and some FILE_BYTES, but a longer record whole.
+FILE_RECORDS, FILE_BYTES = 3_000, 192 << 20
+#: Pages are written by classes of size, each class up to STEP times the longest page of the one before.
+STEP = 16
 
 
 def _record(kind: str, rid: Column, concurrent: Column, uri: Column, extra: list[Column], content_type: str, block: Column) -> Column:
@@ -32,6 +35,21 @@ def _record(kind: str, rid: Column, concurrent: Column, uri: Column, extra: list
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
+    """Write pages (page_id, url, html) as WARC files to path, files closed by records and by bytes.
+
+    The text writer closes files by a number of records. So pages go by classes of size, four at most, each class with
+    its own number; what a class holds tells from one count. Equal payloads are of one class, so that revisits are found
+    within it. On the rows: see _write_class.
+    """
+    small = FILE_BYTES // FILE_RECORDS
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    kind = F.when(size <= small, 0).when(size <= small * STEP, 1).when(size <= small * STEP**2, 2).otherwise(3)
+    present = sorted(r[0] for r in pages.select(kind.alias("kind")).distinct().collect()) or [0]  # four rows at most
+    for k in present:
+        _write_class(pages if present == [k] else pages.where(kind == k), f"{path}/class={k}", max(1, FILE_RECORDS // STEP**k))
+
+
+def _write_class(pages: DataFrame, path: str, file_records: int) -> None:
     """Write pages (page_id, url, html) as WARC files to path.
 
     Null html is an empty payload; a null url leaves out the target. Of equal payloads of LEAST_REVISIT bytes or more
@@ -72,36 +90,33 @@ def write_archive(pages: DataFrame, path: str) -> None:
         _record("metadata", rid("metadata"), main, F.col("url"), [], "application/warc-fields", about),
     )
     lines = placed.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def unzipped(data: bytes) -> bytes:
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record in a WARC file, gzip members or plain.
 
     Blocks are taken by Content-Length, so nothing in them is mistaken for a record. Raises ValueError on a file that
-    isn't WARC or breaks off.
+    isn't WARC or breaks off. Gzip data are taken apart as they are read: beside the file, memory holds one record.
     """
-    data, at = unzipped(data), 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {}
-        for line in data[at:head].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            headers[name.decode("ascii", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        start, size = head + 4, int(headers["content-length"])
-        if start + size > len(data):
-            raise ValueError(f"record at byte {at} breaks off")
-        yield headers, data[start : start + size]
-        at = start + size
+    source = gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    try:
+        while line := source.readline():
+            if line == b"\r\n":
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record before byte {source.tell()}")
+            headers = {}
+            while (line := source.readline()) not in (b"\r\n", b""):
+                name, _, value = line.partition(b":")
+                headers[name.decode("ascii", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+            size = int(headers.get("content-length", "-1"))
+            block = source.read(size) if line and size >= 0 else b""
+            if len(block) != size:
+                raise ValueError(f"a record breaks off at byte {source.tell()}")
+            yield headers, block
+    except EOFError as broken:
+        raise ValueError("the gzip data break off") from broken
 
 
 RECORD = "record_id string, type string, concurrent_to string, target_uri string, refers_to string, http_length long, payload_bytes long, payload_digest string, fields string"

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.llm import chat, warc
@@ -120,3 +122,39 @@ def test_rewriting_of_far_turns(spark):
             was, now = template(turns[: r.seq]), template(turns[: r.seq + 1])
             assert r.chunk == (now if r.rewritten else now[len(was) :])
             assert r.rewritten or r.chunk[r.text_start : r.text_end] == turns[r.seq][1]
+
+
+def test_files_are_closed_by_bytes(spark, monkeypatch):
+    """Small pages by records, larger ones by their class, however they come; the rows are those of one class."""
+    monkeypatch.setattr(warc, "FILE_RECORDS", 64)
+    monkeypatch.setattr(warc, "FILE_BYTES", 64 * 100)
+    sizes = [90, 120, 1500, 1700, 25_500, 26_000, 500_000]
+    rows = [(100 * k + i, "u", f"{i % 20:02}" + "p" * (n - 2), "") for k, n in enumerate(sizes) for i in range(30)]
+    path = new_path(spark, "test-warc")
+    warc.write_archive(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    files = [len(list(warc.parse_records(bytes(r.content)))) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).collect()]
+    assert sum(files) == 3 * len(rows) and max(files) <= 64 and sum(n == 1 for n in files) >= 90
+    for c in warc.assemble(warc.read_records(spark, path)).collect():
+        k, i = divmod(int(c.metadata.fields.strip().removeprefix("page-id: ")), 100)
+        assert c.n_records == 3 and c.main.payload_bytes == sizes[k]
+        assert (c.main.type == "revisit") == (i >= 20 and sizes[k] >= 100)
+        assert not c.main.refers_to or c.main.refers_to.startswith(f"<urn:capture:{100 * k + i - 20}:")
+
+
+def test_broken_archives():
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    assert [b for _, b in warc.parse_records(record * 2)] == [b for _, b in warc.parse_records(gzip.compress(record) * 2)] == [b"abcd"] * 2
+    whole = gzip.compress(record + bytes(range(256)))
+    for bad in (b"no archive", record + b"x", record[:30], record[:-6], record.replace(b"Content-Length: 4\r\n", b""), gzip.compress(record)[:-9], whole):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(bad))
+
+
+def test_spans_of_odd_templates():
+    """A text shown once has its span; one shown twice, or within a frame that varies with it, has none."""
+    def span(shown):
+        return chat.text_span(lambda turns: "".join(shown(t) for _, t in turns), [("user", "x")], ("user", "hello"))
+
+    assert span(lambda t: f"<{t}>") == (1, 6)
+    assert span(lambda t: f"<{t}|{t}>") == span(lambda t: f"<{t}>{'!' * (len(t) > 3)}") == span(lambda t: "<>") == (0, 0)
+    assert span(lambda t: f"{len(t)}:{t}") == (0, 0)
