@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.shared import LOWER, UPPER, drop_stored, lower_ascii, once, stored
+from fieldglass.llm.shared import LOWER, UPPER, drop_stored, lower_ascii, once, row_packed, row_unpacked, stored
 
 #: Separators of words of whatever case; the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of the lower-cased text lie between.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -190,5 +190,6 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window. Rows without a doc_id are judged by their text like others."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = find_leaks(docs, items).where("n_hit > 0").select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    return docs.join(leaks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    leaks = find_leaks(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    clean = row_packed(docs, "doc_id", "text").join(leaks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("key")), "left_anti")
+    return row_unpacked(clean, docs.columns, "doc_id", "text")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.shared import LOWER_BYTES, drop_stored, mapped, stored, text_bytes
+from fieldglass.llm.shared import LOWER_BYTES, drop_stored, long_id, mapped, stored, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that are broadcast, of 64 bytes at most or by digest: some 8 MB.
@@ -203,7 +203,7 @@ def lattice_scores(docs: DataFrame, pieces: dict[str, float] | None = None) -> D
     """
     spark = docs.sparkSession
     start = pieces or vocabulary()
-    kept = bags(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"))
+    kept = bags(docs.select(long_id(docs), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"))
     said = kept.select("row", "held_out", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", "held_out", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counted = said.groupBy("word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("n"))).alias("c"), F.sum("n").alias("all"))
     words = stored(counted, "words")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.shared import drop_stored, stored
+from fieldglass.llm.shared import drop_stored, own_id, row_packed, row_unpacked, stored
 
 MOST = 3.0
 BUCKET = 5_000
@@ -147,13 +147,13 @@ def mix(docs: DataFrame, most: float = MOST, keep: tuple[str, ...] = ()) -> Data
     Null and blank texts have size 0, rate 1 and one copy. Null is a source of its own, the last. Rows that share a
     doc_id are documents of their own. Columns named in `keep` come along, others are ignored; no rows give no rows.
     """
-    sized = stored(docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    sized = stored(docs.select(*keep, own_id(docs), F.xxhash64("text").alias("text_key"), "source", n_words(F.col("text")).alias("size")), "sizes")
     sizes = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     targets = cyclic_targets(sizes, most)
     solved = multipliers(sizes, targets, most)
     drop_stored(docs.sparkSession, sizes, targets)
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.exp(F.least(F.col("m") * F.col("size") / F.col("scale"), F.lit(math.log(most)))), F.lit(most)))
-    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key")), F.ceil(F.col("docs") / BUCKET)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.col("text_key").cast(sized.schema["doc_id"].dataType))), F.ceil(F.col("docs") / BUCKET)).cast("int")
     rows = sized.join(solved.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     out = rounded(rows.select(*keep, "doc_id", "text_key", "source", "size", "source_size", "target", rate.alias("rate"), bucket.alias("bucket"))).drop("bucket", "text_key")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
@@ -166,9 +166,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as often as the mix takes them, with the number of the copy (from 1) as copy.
 
-    Every row is a document of its own, whether or not it has a doc_id or shares it: rows are numbered and written, so
+    A column `copy` that docs has is replaced. Every row is a document of its own, whether or not it has a doc_id or shares it: rows are numbered and written, so
     that both readings see the same numbers.
     """
-    rows = stored(docs.drop("copy").withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    copies = mix(rows, keep=("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    return rows.join(copies, "__row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies")
+    docs = docs.drop("copy")
+    rows = stored(row_packed(docs, "doc_id", "source", "text").withColumn("number", F.monotonically_increasing_id()), "numbered")
+    copies = mix(rows, keep=("number",)).where("copies > 0").select("number", "copies")
+    taken = rows.join(copies, "number").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return row_unpacked(taken.withColumn("row", F.struct("row.*", "copy")), [*docs.columns, "copy"], "doc_id", "source", "text")

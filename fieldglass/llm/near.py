@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from fieldglass.llm.components import connected_components
 from fieldglass.llm.names import CHUNK, chunks, in_pieces, mixed, paired, word_names
-from fieldglass.llm.shared import LOWER_BYTES, drop_stored, mapped, stored, text_bytes
+from fieldglass.llm.shared import LOWER_BYTES, drop_stored, long_id, mapped, row_packed, row_unpacked, stored, text_bytes
 
 HASHES, BAND = 128, 4
 _RANDOM = np.random.default_rng(20240229)
@@ -167,7 +168,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     null doc_id links with nothing and is kept. Other columns of docs are ignored; no rows give no rows.
     A link is missed only if no band agrees: (1 - s**BAND) ** (HASHES / BAND), under 1e-7 at s = 0.8.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(long_id(docs), "text")
     signed = stored(signatures(docs, width), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
     reps = stored(classes, "classes")
@@ -214,18 +215,20 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows go by the group of their own text alone: different texts under one doc_id all stay, and of alike ones under
     the least doc_id that with the least hash. Rows equal in doc_id and text count once; rows without a doc_id all stay.
     """
-    named = docs.where("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("doc_id", "text", F.col("text").isNull()))
-    shared = named.groupBy("doc_id").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("__shared"))
+    rows = row_packed(docs, "doc_id", "text")
+    named = rows.where("doc_id IS NOT NULL").withColumn("vertex", F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    shared = named.groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("shared"))
     shared = stored(shared, "shared-texts")
-    # A vertex is a text: by its doc_id, so that groups gather about their first document, or where an id has several, by its hash.
-    vertex = F.col("doc_id").cast("long")
-    if not shared.isEmpty():
-        named, vertex = named.join(shared, "doc_id", "left"), F.when(F.col("__shared"), F.col("__text")).otherwise(vertex)
-    named = named.withColumn("__text", vertex)
-    found = near_duplicates(named.select(F.col("__text").alias("doc_id"), "text")).select(F.col("doc_id").alias("__text"), "component_id").distinct()
-    ids = named.select("__text", "doc_id").distinct().join(found, "__text")
-    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__text")).alias("least")).select("least.__text")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.row_number().over(Window.partitionBy("__text").orderBy(F.xxhash64(F.lit(0), *rest)))
-    one = named.join(kept, "__text", "left_semi").withColumn("__first", first).where("__first = 1")
-    return one.select(docs.columns).union(docs.where("doc_id IS NULL").select(docs.columns))
+    # A vertex is a text: by its doc_id, so that groups gather about their first document, or where an id has several or is no
+    # number, by its hash.
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        vertex = F.col("doc_id").cast("long")
+        if not shared.isEmpty():
+            named, vertex = named.join(shared, "doc_id", "left"), F.when(F.col("shared"), F.col("vertex")).otherwise(vertex)
+        named = named.withColumn("vertex", vertex)
+    found = near_duplicates(named.select(F.col("vertex").alias("doc_id"), "text")).select(F.col("doc_id").alias("vertex"), "component_id").distinct()
+    ids = named.select("vertex", "doc_id").distinct().join(found, "vertex")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "vertex")).alias("least")).select("least.vertex")
+    first = F.row_number().over(Window.partitionBy("vertex").orderBy(F.xxhash64(F.to_json("row"))))  # JSON: maps have no hash
+    one = named.join(kept, "vertex", "left_semi").withColumn("first", first).where("first = 1")
+    return row_unpacked(one.select(rows.columns).union(rows.where("doc_id IS NULL")), docs.columns, "doc_id", "text")

@@ -12,12 +12,14 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-import fieldglass.llm.shared  # noqa: F401  its functions travel to executors by value
+from fieldglass.llm.shared import quoted, row_packed, row_unpacked
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -58,19 +60,21 @@ class Doc:
 
     @cached_property
     def n_repeat_words(self) -> int:
-        w = self.words
-        if len(w) < 4:
+        n = self.n_words
+        if n < 4:
             return 0
-        found = Counter(zip(w, w[1:], w[2:], strict=False))
-        if len(found) == len(w) - 2:
+        numbers: dict[bytes, int] = {}
+        words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, n)
+        if len(numbers) == n:
             return 0
-        n, end = 0, 0
-        for i, window in enumerate(zip(w, w[1:], w[2:], strict=False)):
-            if found[window] > 1:
-                n += i + 3 - max(i, end)
-                end = i + 3
-        return n
-
+        # A window is numbered by its first two words' number and the third: exact, and eight bytes a word.
+        _, pairs = np.unique(words[:-1] * n + words[1:], return_inverse=True)
+        _, windows, found = np.unique(pairs[:-1] * n + words[2:], return_inverse=True, return_counts=True)
+        again = found[windows] > 1
+        hit = np.zeros(n, bool)
+        for k in range(3):
+            hit[k : n - 2 + k] |= again
+        return int(hit.sum())
 
     @cached_property
     def top_word(self) -> int:
@@ -138,13 +142,14 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = R
     """docs with kept, failed_rule (null when kept) and n_rules_run; with stats, the base counts as well.
 
     Null text counts as empty and fails too_short. Each row is judged by itself: repeated rows get equal verdicts.
-    Columns of docs with the names of new ones are replaced; others stay as they are. No rows give no rows.
+    Columns of docs with the names of new ones are replaced; others stay as they are. No rows give no rows. A task
+    holds one text's words at a time, some twenty times the bytes of a text of short words.
     """
     order = order or [r["rule"] for r in rule_order(docs, rules)]
     kinds = f"{STATS}, {VERDICT}" if stats else f"kept boolean, {VERDICT}"
     new = [x.split()[0] for x in kinds.split(", ")]
     kept_columns = [c for c in docs.columns if c not in new]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept_columns)
+    fields = [f for f in docs.schema if f.name in kept_columns]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +171,7 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Callable[[Doc], bool]] = R
                 made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[k.split()[1]] for k in kinds.split(", ")], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept_columns] + made, names=[*kept_columns, *new])
 
-    return docs.select(*(f"`{c}`" for c in dict.fromkeys([*kept_columns, "text"]))).mapInArrow(judge, f"{fields}, {kinds}")
+    return docs.select(*map(quoted, dict.fromkeys([*kept_columns, "text"]))).mapInArrow(judge, StructType([*fields, *StructType.fromDDL(kinds)]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,5 +181,5 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
-    return quality_cascade(docs).where("kept").select(docs.columns)
+    """Documents that no rule rejects, with all columns that they had."""
+    return row_unpacked(quality_cascade(row_packed(docs, "text")).where("kept"), docs.columns, "text")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm.names import CHUNK, chunks, in_pieces, mixed, paired, word_names
-from fieldglass.llm.shared import drop_stored, mapped, stored, text_bytes
+from fieldglass.llm.shared import drop_stored, long_id, mapped, stored, text_bytes
 
 #: Rounds of naming runs and then pairs.
 ROUNDS = 5
@@ -343,7 +343,7 @@ def cut_repeats(docs: DataFrame, width: int = 50, digest: bool = False) -> DataF
     if width < 2:
         raise ValueError("a window must have two words at least")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(long_id(docs), "text")
     rows = stored(block_rows(docs.where("doc_id IS NOT NULL"), width), "blocks")
     blocks = stored(rows.groupBy("key", "b1", "b2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "block-firsts")
     several = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("several"))

@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from fieldglass.llm.shared import mapped
+from fieldglass.llm.shared import mapped, quoted, row_packed, row_unpacked
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -378,8 +379,8 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), pa.array(spans, kind)], names=[*(f.name for f in keep), out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return mapped(docs.select(*(f"`{f.name}`" for f in keep)), scan, f"{fields}, `{out}` array<struct<kind:string,start:int,end:int>>")
+    made = StructType([*keep, *StructType.fromDDL(f"{quoted(out)} array<struct<kind:string,start:int,end:int>>")])
+    return mapped(docs.select(*(quoted(f.name) for f in keep)), scan, made)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -391,7 +392,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         at = batch.schema.get_field_index(text)
         return batch.set_column(at, batch.schema.field(at).with_type(pa.string()), pa.array([redacted(x) for x in batch.column(at).to_pylist()], pa.string()))
 
-    return mapped(docs, clean, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return mapped(docs, clean, docs.schema)
 
 
 def redacted(text: str | None) -> str | None:
@@ -420,5 +421,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets written over."""
-    return redact(docs)
+    """All documents, their secrets written over; other columns stay as they are."""
+    return row_unpacked(redact(row_packed(docs, "text")), docs.columns, "text")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType, StructType
 
 cloudpickle.register_pickle_by_value(sys.modules["fieldglass"])  # executors need not have this package
 
@@ -66,7 +67,37 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """docs as the columns `apart` and `row`, a struct of all others, whose names so clash with none of a stage's own."""
+    rest = [F.col(quoted(c)) for c in docs.columns if c not in apart]
+    return docs.select(*apart, F.struct(*rest or [F.lit(0).alias("none")]).alias("row"))
+
+
+def row_unpacked(rows: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    """The columns of the table that row_packed() was given with `apart`, in its order."""
+    return rows.select(*(F.col(c) if c in apart else F.col("row").getField(c).alias(c) for c in columns))
+
+
+def own_id(docs: DataFrame) -> Column:
+    """doc_id, whole numbers as long, other types as string."""
+    whole = isinstance(docs.schema["doc_id"].dataType, (IntegralType, NullType))
+    return F.col("doc_id").cast("long" if whole else "string").alias("doc_id")
+
+
+def long_id(docs: DataFrame) -> Column:
+    """doc_id as long; TypeError where it isn't a whole number."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
+    return F.col("doc_id").cast("long").alias("doc_id")
+
+
+def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 512) -> DataFrame:
     """mapInArrow by pieces of at most `rows` rows, so that what fn makes stays small beside long texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 import re
 import string
 import time
+import tracemalloc
 
 import pytest
 
@@ -230,3 +231,14 @@ def test_time_is_linear(name):
         secrets.secret_spans(text)
         took.append(time.process_time() - at)
     assert took[1] < 9 * max(took[0], 0.05), took
+
+
+def test_repeats_of_one_long_text():
+    """20 MB in one text: counted exactly, in bounded memory."""
+    tracemalloc.start()
+    text = " ".join(f"{i * 7919 % 900_001:07}" for i in range(2_500_000))
+    doc = quality.Doc(text)
+    began = tracemalloc.get_traced_memory()[0]
+    assert doc.n_repeat_words == 2_500_000
+    assert tracemalloc.get_traced_memory()[1] - began < 1_000_000_000
+    tracemalloc.stop()
