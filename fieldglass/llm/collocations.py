@@ -213,7 +213,7 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
     numbers, f) that occur `least` times or more in a language, and the occurrences n of all words of each lang. Written."""
     spark = docs.sparkSession
     plain = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    shards = stored(plain.mapInArrow(_shards, "shard long, lang string, numbers array<int>, words array<string>, counts array<long>"), "shards")
+    shards = stored(plain.mapInArrow(_shards, "shard long, lang string, numbers array<int>, words array<string>, counts array<long>"), "shards", long_rows=True)
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("shard", "lang", (F.col("at") + 1).alias("local"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     totals = stored(local.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     ranked, n = numbered(local.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
@@ -221,12 +221,12 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
         raise ArithmeticError(f"{n} frequent words: more than numbers of {BITS} bits hold")
     words = stored(ranked.select((F.col("place") + 1).alias("number"), "lang", "word", "f"), "words")
     names = local.join(words.select("lang", "word", "number"), ["lang", "word"]).select(F.col("shard").alias("of"), "local", F.col("number").cast("int").alias("number"))
-    named = stored(shards.select("shard", "numbers").groupBy("shard").cogroup(names.groupBy("of")).applyInArrow(_renamed, "shard long, numbers array<int>"), "named")
+    named = stored(shards.select("shard", "numbers").groupBy("shard").cogroup(names.groupBy("of")).applyInArrow(_renamed, "shard long, numbers array<int>"), "named", long_rows=True)
     drop_stored(spark, shards)
 
     parts = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART))
     pairs = named.select("shard", "numbers").mapInArrow(_pairs(parts), "shard long, part long, grams array<long>, counts array<long>")
-    found = stored(pairs.groupBy("part").applyInArrow(_frequent(least), "shard long, grams array<long>, f array<long>"), "pairs")
+    found = stored(pairs.groupBy("part").applyInArrow(_frequent(least), "shard long, grams array<long>, f array<long>"), "pairs", long_rows=True)
     two = found.where("shard IS NULL").select(F.explode(F.arrays_zip("grams", "f")).alias("x")).select(F.col("x.grams").alias("gram"), F.col("x.f").alias("f"))
     back = found.where("shard IS NOT NULL").select(F.col("shard").alias("of"), "grams")
     longer = named.groupBy("shard").cogroup(back.groupBy("of")).applyInArrow(_longer, "a long, b long, c long")

@@ -41,10 +41,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldglass/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: the work isn't done twice, and survives the loss of executors."""
+#: Options of a writer whose rows have megabytes: row groups are closed by their bytes, looked at after each row instead of
+#: after 100, as a reader holds a row group decoded.
+LONG_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def stored(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: the work isn't done twice, and survives the loss of executors.
+
+    long_rows: rows may have megabytes each, and a task that reads them holds few at a time.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**LONG_ROWS if long_rows else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

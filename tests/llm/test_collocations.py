@@ -3,9 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from fieldglass.llm import collocations
+from fieldglass.llm.shared import stored
 from tests.llm.brute import LOWER
 
 DOCS = "doc_id long, text string, lang string, shard string, w string, n int, f int"
@@ -86,3 +89,11 @@ def test_automaton(seed):
     for k in range(1, 5):
         words, count = m.substrings(k)
         assert {tuple(w): c for w, c in zip(words.tolist(), count.tolist(), strict=True)} == {p: len(e) for p, e in ends.items() if len(p) == k}
+
+
+def test_row_groups_of_long_rows(spark):
+    """Rows of megabytes: a reader, which holds a row group decoded, meets few of them at a time."""
+    df = spark.range(40, numPartitions=1).select("id", F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda x: F.xxhash64(x, "id")).alias("numbers"))
+    files = {f.removeprefix("file://") for f in stored(df, "test-long-rows", long_rows=True).inputFiles()}
+    groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) == 40 and max(groups) <= 4
