@@ -48,24 +48,22 @@ def inst_template(turns: list[Turn]) -> str:
     return "".join(out)
 
 
-inst_template.context = 0
-
-
-def added(render: Renderer, before: list[Turn], turn: Turn) -> tuple[str, bool]:
-    """What the turn adds after `before`, and whether it rewrites the output so far (then all of the new output)."""
-    was, now = render(before), render([*before, turn])
+def added(render: Renderer, before: list[Turn], turn: Turn, was: str | None = None) -> tuple[str, bool]:
+    """What the turn adds after `before`, whose output is `was` if known, and whether it rewrites the output so far (then
+    all of the new output)."""
+    was, now = render(before) if was is None else was, render([*before, turn])
     return (now[len(was) :], False) if now.startswith(was) else (now, True)
 
 
-def text_span(render: Renderer, before: list[Turn], turn: Turn) -> tuple[int, int]:
+def text_span(render: Renderer, before: list[Turn], turn: Turn, was: str | None = None, chunk: str | None = None) -> tuple[int, int]:
     """The span of the turn's text in what it adds, found by two probes that share no character; (0, 0) if the template
     doesn't show the text, shows it more than once or in a frame that varies with it, or shows what it adds only by rewriting."""
-    (one, first), (two, second) = (added(render, before, (turn[0], probe)) for probe in ("A", "B"))
+    (one, first), (two, second) = (added(render, before, (turn[0], probe), was) for probe in ("A", "B"))
     apart = [i for i, (a, b) in enumerate(zip(one, two, strict=False)) if a != b]
     if len(one) != len(two) or len(apart) != 1 or first or second:
         return 0, 0
     head, tail = one[: apart[0]], one[apart[0] + 1 :]
-    chunk = added(render, before, turn)[0]
+    chunk = added(render, before, turn, was)[0] if chunk is None else chunk
     framed = len(chunk) >= len(head) + len(tail) and chunk.startswith(head) and chunk.endswith(tail)
     return (len(head), len(chunk) - len(tail)) if framed else (0, 0)
 
@@ -77,12 +75,15 @@ class Rendering:
         self.render, self.context = render, getattr(render, "context", None)
         self.first: list[Turn] = []
         self.last: list[Turn] = []
+        self.shown: str | None = None
 
     def add(self, turn: Turn) -> tuple[str, int, int, bool]:
         """(what it adds, start and end of its text there, rewritten)."""
         before = self.first + self.last
-        chunk, rewritten = added(self.render, before, turn)
-        start, end = (0, 0) if rewritten else text_span(self.render, before, turn)
+        was = self.render(before) if self.shown is None or self.context is not None else self.shown
+        chunk, rewritten = added(self.render, before, turn, was)
+        start, end = (0, 0) if rewritten else text_span(self.render, before, turn, was, chunk)
+        self.shown = chunk if rewritten else was + chunk
         if not self.first:
             self.first = [turn]
         elif self.context is None:

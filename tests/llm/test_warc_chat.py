@@ -158,3 +158,14 @@ def test_spans_of_odd_templates():
     assert span(lambda t: f"<{t}>") == (1, 6)
     assert span(lambda t: f"<{t}|{t}>") == span(lambda t: f"<{t}>{'!' * (len(t) > 3)}") == span(lambda t: "<>") == (0, 0)
     assert span(lambda t: f"{len(t)}:{t}") == (0, 0)
+
+
+def test_op6_renders_every_whole_prefix():
+    """The query's template is a black box: a rewriting of any earlier turn would show in the turns that it renders."""
+    seen = []
+    template = lambda turns: seen.append(len(turns)) or chat.inst_template(turns)
+    template.__dict__.update(chat.inst_template.__dict__)
+    state = chat.Rendering(template)
+    for i in range(9):
+        state.add(("user", f"text {i}"))
+    assert max(seen) == 9
