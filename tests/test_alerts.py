@@ -171,3 +171,23 @@ def test_status_log_over_batches_and_a_replay(spark, tmp_path):
     T.status_log(as_stream(spark, folder, schema), log, latest, str(tmp_path / "again")).awaitTermination()
     assert log.read().count() == len(want), "all batches delivered again change nothing"
     assert T.status_changes(spark.createDataFrame([], schema), None).count() == 0
+
+
+def test_one_timer_a_key():
+    """A key with many stories has one timer, and its firing ends all that the watermark has passed, read once."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    handle, kept = MagicMock(), []
+    handle.getListState.return_value = SimpleNamespace(get=lambda: iter(kept), exists=lambda: bool(kept), put=lambda rows: kept.__setitem__(slice(None), rows), clear=kept.clear)
+    p = T.Stories(["user"], "at", DAY)
+    p.init(handle)
+    times = pd.DataFrame({"at": pd.to_datetime([START + 3 * i * DAY for i in range(50)])})
+    assert sum(len(x) for x in p.handleInputRows((1,), iter([times]), None)) == 50
+    assert handle.registerTimer.call_count == 1 and len(kept) == 50
+    first = handle.registerTimer.call_args.args[0]
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: first + 10 * 3 * 86_400_000)
+    ended = list(p.handleExpiredTimer((1,), clock, SimpleNamespace(getExpiryTimeInMs=lambda: first)))
+    assert sum(map(len, ended)) == 10 and len(kept) == 40 and handle.registerTimer.call_count == 2
