@@ -53,7 +53,8 @@ def found_terms(texts: DataFrame, terms: DataFrame, ids: list[str], script: str
     met = keyed.join(known, "key")
     sure = met.where("proof").select(*ids, "family", "term", "exclusion")
     doubtful = met.where("NOT proof").groupBy(*ids).agg(F.collect_set(F.struct("family", "term", "exclusion", "variant", "pattern")).alias("spellings"))
-    occurs = lambda text, low: lambda s: F.when(s["pattern"].isNull(), F.contains(text, s["variant"])).otherwise(F.rlike(low, s["pattern"]))
+    occurs = lambda text, low: lambda s: F.when(s["pattern"].isNull(), F.contains(text, s["variant"])).otherwise(F.contains(low, F.lower(s["variant"])) & F.rlike(low, s["pattern"]))
+    # Few spellings in doubt occur at all, and a pattern, made anew for each, costs far more than a plain search.
     read = texts.join(doubtful, ids).withColumn("low", F.lower("text"))
     seen = read.select(*ids, F.explode(F.filter("spellings", occurs(F.col("text"), F.col("low")))).alias("s")).select(*ids, "s.family", "s.term", "s.exclusion")
     by_term = sure.union(seen).groupBy(*ids, "family", "term").agg(F.bool_or("exclusion").alias("excluded"))
