@@ -88,17 +88,25 @@ def snapshot(store: Mapping[str, DataFrame], tables: Sequence[Table], label: str
     mine, old = belonging(store, tables, source), belonging(store, tables, copy)
     new_id = lambda name, column: F.sha2(F.concat_ws(":", F.lit(label), F.lit(name), column), 256)
     keys = {t.name: t.key for t in tables}
-    maps = {t.name: mine[t.name].select(F.col(t.key).alias("__old"), new_id(t.name, F.col(t.key)).alias("__new")) for t in tables}
     out = {}
     for t in tables:
-        rows = mine[t.name].withColumn(keys[t.name], new_id(t.name, F.col(t.key)))
-        for r in t.refs:
-            rows = rows.join(maps[r.table].withColumnRenamed("__old", r.column), r.column, "left")
-            rows = rows.withColumn(r.column, F.coalesce("__new", r.column) if r.keeps else F.col("__new")).drop("__new")
+        rows, values = mine[t.name], {keys[t.name]: new_id(t.name, F.col(t.key))}
+        for k, r in enumerate(t.refs):
+            if r.owner and not t.origin:  # rows are copied because their owner is
+                values[r.column] = new_id(r.table, F.col(r.column))
+                continue
+            there = mine[r.table].select(F.col(keys[r.table]).alias(f"__is{k}"))
+            rows = rows.join(there, F.col(r.column) == F.col(f"__is{k}"), "left")
+            new = F.when(F.col(f"__is{k}").isNotNull(), new_id(r.table, F.col(r.column)))
+            values[r.column] = F.coalesce(new, F.col(r.column)) if r.keeps else new
         if t.origin:
-            rows = rows.withColumn("data_origin", F.lit(copy))
-        rest = store[t.name].join(old[t.name].select(t.key), t.key, "left_anti")
-        out[t.name] = rest.select(store[t.name].columns).unionByName(rows.select(store[t.name].columns))
+            values["data_origin"] = F.lit(copy)
+            rest = store[t.name].where(~F.col("data_origin").eqNullSafe(F.lit(copy)))
+        else:
+            rest = store[t.name].join(old[t.name].select(t.key), t.key, "left_anti")
+        # Old ids go through the joins and long new ones are made behind them.
+        copied = rows.select(*(values[c].alias(c) if c in values else F.col(c) for c in store[t.name].columns))
+        out[t.name] = rest.select(store[t.name].columns).unionByName(copied)
     return out
 
 
