@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fieldglass.sources.keyed import KeyedTable
-from fieldglass.store import work_path
+from fieldglass.store import dropped, work_path, written
 
 LIVE, COPY = "live", "verified_snapshot"
 
@@ -129,6 +129,16 @@ def export(store: Mapping[str, DataFrame], tables: Sequence[Table], path: str) -
     return counts
 
 
+def _among(ids: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """ids that are among the keys (left_semi) or not (left_anti); tables of one column each.
+
+    They are sorted by a hash, which is faster than by the texts; of equal hashes the texts are compared, and not as a key of the
+    join, by which Spark would sort too.
+    """
+    near = F.xxhash64("id") == F.xxhash64("key")
+    return ids.toDF("id").join(keys.toDF("key"), near & (F.col("id") <= F.col("key")) & (F.col("id") >= F.col("key")), how)
+
+
 def imported(spark: SparkSession, path: str, tables: Sequence[Table], target: Mapping[str, KeyedTable]) -> dict[str, int]:
     """Load an export into keyed tables, parents first, with the types it was written with; returns the rows that were new.
 
@@ -140,17 +150,26 @@ def imported(spark: SparkSession, path: str, tables: Sequence[Table], target: Ma
     for t in in_order(tables):
         if t.name not in contents:
             raise ValueError(f"{path} has no table {t.name}")
-        rows = spark.read.schema(StructType.fromJson(json.loads(contents[t.name]["schema"]))).json(f"{path}/tables/{t.name}")
-        if rows.select(t.key).count() != contents[t.name]["rows"]:
-            raise ValueError(f"{path}: {t.name} doesn't have the {contents[t.name]['rows']} rows that were written")
-        if not rows.groupBy(t.key).count().where("count > 1").isEmpty():
-            raise ValueError(f"{path}: {t.name} has several rows of one {t.key}")
-        for r in t.refs:
-            there = rows.select(F.col(t.key).alias("k")) if r.table == t.name else target[r.table].read().select(F.col(keys[r.table]).alias("k"))
-            lost = rows.where(F.col(r.column).isNotNull()).join(there, F.col(r.column) == F.col("k"), "left_anti")
-            if not lost.isEmpty():
-                raise ValueError(f"{path}: {t.name}.{r.column} names rows that {r.table} doesn't have")
-        added[t.name] = target[t.name].insert_absent(rows)
+        # Parsed once.
+        rows = written(spark.read.schema(StructType.fromJson(json.loads(contents[t.name]["schema"]))).json(f"{path}/tables/{t.name}"), "import")
+        try:
+            if (n := rows.count()) != contents[t.name]["rows"]:
+                raise ValueError(f"{path}: {t.name} doesn't have the {contents[t.name]['rows']} rows that were written")
+            own, one_key = rows.select(t.key), target[t.name].keys == [t.key]
+            # As many keys of the table as there are rows: each row has a key of its own, and all are there.
+            known = one_key and bool(target[t.name].versions()) and _among(target[t.name].read().select(t.key), own, "left_semi").count() == n
+            if not known and not own.groupBy(t.key).count().where("count > 1").isEmpty():
+                raise ValueError(f"{path}: {t.name} has several rows of one {t.key}")
+            lost = []
+            for k, r in enumerate(t.refs):
+                there = own if r.table == t.name else target[r.table].read().select(keys[r.table])
+                lost.append(_among(rows.select(r.column).where(F.col(r.column).isNotNull()), there, "left_anti").select(F.lit(k).alias("k")))
+            if lost and (bad := reduce(DataFrame.union, lost).agg(F.min("k")).first()[0]) is not None:
+                raise ValueError(f"{path}: {t.name}.{t.refs[bad].column} names rows that {t.refs[bad].table} doesn't have")
+            # Where all keys are there, the columns are still compared.
+            added[t.name] = target[t.name].insert_absent(rows.where("false") if known else rows, unique=one_key)
+        finally:
+            dropped(rows)
     return added
 
 
@@ -170,7 +189,8 @@ def order_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     mentions = orders.select(text("o_orderkey").alias("id"), text("o_custkey").alias("author_id"), F.when(F.col("o_orderkey") % 5 == 0, before).cast("string").alias("duplicate_of"), origin(F.col("o_orderkey"), 4))
     lines = read("lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    links = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), text("l_orderkey").alias("mention_id"), text("o_custkey").alias("author_id")).distinct()
+    lines = lines.select("l_orderkey", "l_linenumber", "o_custkey").distinct()  # the numbers, where the join has put them
+    links = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), text("l_orderkey").alias("mention_id"), text("o_custkey").alias("author_id"))
     authors = read("customer").select(text("c_custkey").alias("id"), F.col("c_name").alias("name"), origin(F.col("c_custkey"), 6))
     return {"authors": authors, "mentions": mentions, "links": links}
 

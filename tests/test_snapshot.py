@@ -82,3 +82,39 @@ def test_broken_exports(spark, tmp_path):
     S.export(state | {"authors": state["authors"].union(state["authors"])}, TABLES, f"{path}/twice")
     with pytest.raises(ValueError, match="several rows of one id"):
         S.imported(spark, f"{path}/twice", TABLES, target)
+
+
+def test_import_parses_files_once(spark, tmp_path, monkeypatch):
+    """When the checks are done and rows are inserted, a table's files aren't read again: they can be gone."""
+    state, path = store(spark), f"file://{tmp_path}"
+    S.export(state, TABLES, f"{path}/out")
+    target = {t.name: KeyedTable(spark, f"{path}/{t.name}", ["id"], 2) for t in TABLES}
+    insert = KeyedTable.insert_absent
+
+    def insert_without_files(table, *args, **kwargs):
+        shutil.rmtree(f"{tmp_path}/out/tables/{table.path.rsplit('/', 1)[1]}")
+        return insert(table, *args, **kwargs)
+
+    monkeypatch.setattr(KeyedTable, "insert_absent", insert_without_files)
+    assert S.imported(spark, f"{path}/out", TABLES, target) == {"authors": 2, "mentions": 4, "events": 3}
+    assert all(rows(target[k].read()) == rows(v) for k, v in state.items())
+
+
+def test_import_adds_what_is_missing(spark, tmp_path):
+    """Some keys are there with other values, some aren't; rows that refer to the table's older rows are right too."""
+    state, path = store(spark), f"file://{tmp_path}"
+    target = {t.name: KeyedTable(spark, f"{path}/{t.name}", ["id"], 2) for t in TABLES}
+    other = spark.createDataFrame([("a1", "Other", "live"), ("a7", "Old", "live")], state["authors"].schema)
+    assert target["authors"].insert_absent(other) == 2
+    late = spark.createDataFrame([("m7", "a7", None, None, "live")], state["mentions"].schema)
+    S.export(state | {"mentions": state["mentions"].union(late)}, TABLES, f"{path}/out")
+    assert S.imported(spark, f"{path}/out", TABLES, target) == {"authors": 1, "mentions": 5, "events": 3}
+    assert rows(target["authors"].read()) == [("a1", "Other", "live"), ("a2", "Bo", "demo_seed"), ("a7", "Old", "live")]
+    # As many rows as keys that are there, yet one twice and one missing.
+    S.export({"authors": spark.createDataFrame([("a1", "Ann", "live"), ("a1", "Ann", "live")], state["authors"].schema)} | {k: v.where("false") for k, v in state.items() if k != "authors"}, TABLES, f"{path}/twice")
+    with pytest.raises(ValueError, match="several rows of one id"):
+        S.imported(spark, f"{path}/twice", TABLES, target)
+    # All keys there, but other columns.
+    S.export({k: v.withColumn("more", v["id"]) if k == "authors" else v for k, v in state.items()}, TABLES, f"{path}/wide")
+    with pytest.raises(ValueError, match="differ"):
+        S.imported(spark, f"{path}/wide", TABLES, target)
