@@ -65,8 +65,23 @@ def dangling(store: Mapping[str, DataFrame], tables: Sequence[Table]) -> DataFra
     return reduce(DataFrame.unionByName, found)
 
 
+class Copied(dict[str, DataFrame]):
+    """A store as snapshot() leaves it, that knows its copy and the rest apart: what asks for one of them joins nothing."""
+
+    def __init__(self, tables: Sequence[Table], copy: str, own: dict[str, DataFrame], rest: dict[str, DataFrame]) -> None:
+        super().__init__({t.name: rest[t.name].unionByName(own[t.name]) for t in tables})
+        self.tables, self.copy_name, self.own, self.rest = tuple(tables), copy, own, rest
+        self.made = dict(self)
+
+    def knows(self, tables: Sequence[Table]) -> bool:
+        """Whether its tables are these and still what they were made as."""
+        return self.tables == tuple(tables) and all(self.get(k) is v for k, v in self.made.items())
+
+
 def belonging(store: Mapping[str, DataFrame], tables: Sequence[Table], origin: str) -> dict[str, DataFrame]:
     """The rows of each table that belong to an origin, by data_origin or through their owners."""
+    if isinstance(store, Copied) and store.knows(tables):
+        return dict(store.own) if origin == store.copy_name else belonging(store.rest, tables, origin)
     out: dict[str, DataFrame] = {}
     keys = {t.name: t.key for t in tables}
     for t in in_order(tables):
@@ -83,12 +98,20 @@ def snapshot(store: Mapping[str, DataFrame], tables: Sequence[Table], label: str
     """The store with its `source` rows copied to origin `copy` under ids of their own; the copy that was there is gone.
 
     An id is made of the label, the table and the old id, so a run that is repeated makes the same copy. References are
-    rewritten through the remap tables of what is copied, those to the own table too.
+    rewritten through the remap tables of what is copied, those to the own table too. A copy that an earlier call has made is
+    left out as a whole, not looked up row by row.
     """
-    mine, old = belonging(store, tables, source), belonging(store, tables, copy)
+    if isinstance(store, Copied) and store.copy_name == copy and source != copy and store.knows(tables):
+        rest = store.rest
+    else:
+        old, rest = belonging(store, tables, copy), {}
+        for t in tables:
+            other = store[t.name].where(~F.col("data_origin").eqNullSafe(F.lit(copy))) if t.origin else store[t.name].join(old[t.name].select(t.key), t.key, "left_anti")
+            rest[t.name] = other.select(store[t.name].columns)
+    mine = belonging(store, tables, source)
     new_id = lambda name, column: F.sha2(F.concat_ws(":", F.lit(label), F.lit(name), column), 256)
     keys = {t.name: t.key for t in tables}
-    out = {}
+    own = {}
     for t in tables:
         rows, values = mine[t.name], {keys[t.name]: new_id(t.name, F.col(t.key))}
         for k, r in enumerate(t.refs):
@@ -101,13 +124,9 @@ def snapshot(store: Mapping[str, DataFrame], tables: Sequence[Table], label: str
             values[r.column] = F.coalesce(new, F.col(r.column)) if r.keeps else new
         if t.origin:
             values["data_origin"] = F.lit(copy)
-            rest = store[t.name].where(~F.col("data_origin").eqNullSafe(F.lit(copy)))
-        else:
-            rest = store[t.name].join(old[t.name].select(t.key), t.key, "left_anti")
         # Old ids go through the joins and long new ones are made behind them.
-        copied = rows.select(*(values[c].alias(c) if c in values else F.col(c) for c in store[t.name].columns))
-        out[t.name] = rest.select(store[t.name].columns).unionByName(copied)
-    return out
+        own[t.name] = rows.select(*(values[c].alias(c) if c in values else F.col(c) for c in store[t.name].columns))
+    return Copied(tables, copy, own, rest)
 
 
 def manifest(store: Mapping[str, DataFrame], tables: Sequence[Table], label: str, previous: DataFrame | None = None, copy: str = COPY) -> DataFrame:

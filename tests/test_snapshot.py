@@ -46,6 +46,21 @@ def test_copy_replaces_the_one_before(spark):
     assert rows(said) == [("one", "replaced", '{"authors": 1, "events": 2, "mentions": 3}'), ("two", "active", '{"authors": 1, "events": 2, "mentions": 3}')]
 
 
+def test_replaced_copy_is_not_made(spark):
+    """What is left of a second copy's plan when the first is gone: nothing of the first. Stores put together by hand are right too."""
+    first = S.snapshot(store(spark), TABLES, "label-one")
+    second = S.snapshot(first, TABLES, "label-two")
+    own = S.belonging(second, TABLES, S.COPY)
+    for df in (*second.values(), *own.values()):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "label-one" not in plan
+    by_hand = S.snapshot(dict(first), TABLES, "label-two")
+    assert all(rows(by_hand[k]) == rows(second[k]) for k in second)
+    changed = S.snapshot(store(spark), TABLES, "label-one")
+    changed["events"] = changed["events"].where("false")
+    assert not S.belonging(changed, TABLES, S.COPY)["events"].collect() and not S.snapshot(changed, TABLES, "label-two")["events"].collect()
+
+
 def test_nothing_to_copy(spark):
     empty = {k: v.where("false") for k, v in store(spark).items()}
     assert all(not v.collect() for v in S.snapshot(empty, TABLES, "x").values())
